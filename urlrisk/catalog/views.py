@@ -93,3 +93,99 @@ VIEWS["v_html"] = """
   SELECT p.page_id, p.html || '<a href="' || u.url || '">go</a> see ' || p.url || ' (and) http://10.0.0.7/a?b=c.' AS html
   FROM pages p JOIN v_url u ON p.page_id = u.page_id
 """
+
+# Messages: every document and every conversation turn, whole, with planted sentences.
+VIEWS["v_msg"] = """
+  SELECT 'd' || CAST(doc_id AS STRING) AS msg_id,
+    CASE doc_id % 13
+      WHEN 1 THEN text || ' Act now, your account suspended. URGENT! Visit http://d' || CAST(doc_id % 50 AS STRING) || '.com/now'
+      WHEN 2 THEN 'From: a@d' || CAST(doc_id % 50 AS STRING) || '.com' || chr(10) || 'Subject: security alert' || chr(10) || text
+      WHEN 3 THEN 'http://secure-paypal.d' || CAST(doc_id % 50 AS STRING) || '.tk/login?x=' || CAST(doc_id AS STRING)
+      WHEN 4 THEN 'd' || CAST(doc_id % 50 AS STRING) || '.com/account/update/card'
+      WHEN 5 THEN text || ' Visit http://10.1.2.3/verify and http://login.bank.tk/a now. mail me@d' || CAST(doc_id % 50 AS STRING) || '.com'
+      WHEN 6 THEN 'Mail b@d' || CAST(doc_id % 50 AS STRING) || '.com: please re-enter your password at PayPal. Send payment required, wire transfer funds. ' || text
+      WHEN 7 THEN '   '
+      WHEN 8 THEN text || ' see attached invoice.exe or open the attachment report.docm'
+      WHEN 9 THEN 'Subject: hi' || chr(10) || 'to: x' || chr(10) || text || ' click here, limited time sensitive'
+      WHEN 10 THEN text || ' IT support: customer service help desk. Act now or lose, congratulations you deserve it. award-winning, trusted by most popular Google.com urgent@x.com hurry.net Click http://www.d' || CAST(doc_id % 50 AS STRING) || '.com'
+      WHEN 11 THEN text
+      WHEN 12 THEN text || ' http://[bad/link here'
+      ELSE text END AS content,
+    CASE doc_id % 13 WHEN 11 THEN 'sms' WHEN 5 THEN 'email' WHEN 8 THEN 'text' ELSE 'auto' END AS content_type
+  FROM documents
+  UNION ALL
+  SELECT 'c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS msg_id,
+    CASE WHEN role = 'user' THEN text || ' enter your PIN. confirm your SSN!' ELSE 'https://www.d' || CAST(conv_id % 50 AS STRING) || '.com/a' END AS content,
+    'auto' AS content_type
+  FROM conversations
+"""
+
+# WHOIS rows: one per planted domain, dates in every accepted format and one bad one.
+VIEWS["v_whois"] = """
+  SELECT domain, k,
+    CASE WHEN k % 11 = 4 THEN NULL ELSE domain END AS domain_name,
+    CASE WHEN k % 3 = 0 THEN ' Registrar ' || CAST(k % 5 AS STRING) || ' ' ELSE '' END AS registrar,
+    CASE WHEN k % 11 = 4 THEN NULL ELSE
+      CASE k % 8 WHEN 0 THEN y || '-' || m || '-' || d
+        WHEN 1 THEN y || '-' || m || '-' || d || 'T10:20:30'
+        WHEN 2 THEN y || '-' || m || '-' || d || 'T10:20:30Z'
+        WHEN 3 THEN d || '-Jan-' || y
+        WHEN 4 THEN y || '/' || m || '/' || d
+        WHEN 5 THEN d || '/' || m || '/' || y
+        WHEN 6 THEN y || '.' || m || '.' || d
+        ELSE 'unknown' END END AS created,
+    CASE WHEN k % 4 = 0 THEN NULL ELSE CAST(CAST(y AS INT) + k % 2 AS STRING) || '-' || m || '-20' END AS expires,
+    CASE k % 5 WHEN 0 THEN 'Domains By Proxy, LLC' WHEN 1 THEN 'Acme' WHEN 2 THEN '' ELSE NULL END AS org,
+    CASE k % 7 WHEN 0 THEN 'REDACTED FOR PRIVACY' WHEN 1 THEN 'A Person' ELSE NULL END AS name,
+    CASE WHEN k % 6 = 0 THEN 'US' ELSE NULL END AS country,
+    'NS1.' || domain || ' ' AS ns
+  FROM (SELECT 'd' || CAST(u AS STRING) || '.com' AS domain, u AS k,
+          CAST(CASE WHEN u % 9 = 8 THEN 2024 ELSE 2010 + u % 14 END AS STRING) AS y,
+          lpad(CAST(CASE WHEN u % 9 = 8 THEN 1 ELSE 1 + u % 12 END AS STRING), 2, '0') AS m,
+          lpad(CAST(1 + (u * 7) % 28 AS STRING), 2, '0') AS d
+        FROM (SELECT user_id % 50 AS u FROM events GROUP BY user_id % 50) g) w
+"""
+
+# DNS lookups: one row per event.
+VIEWS["v_dns"] = """
+  SELECT event_id AS seq, ts AS observed_at, 'd' || CAST(user_id % 50 AS STRING) || '.com' AS domain,
+    CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'NS' WHEN 'signup' THEN 'TXT'
+      WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'MX' WHEN event_id % 3 = 1 THEN 'AAAA' ELSE 'CNAME' END
+      ELSE 'A' END AS rtype,
+    CASE WHEN event_type = 'error' OR user_id % 50 IN (3, 4, 5) THEN NULL
+      WHEN event_type = 'view' THEN '10.0.' || CAST(event_id % 200 AS STRING) || '.1'
+      WHEN event_type = 'click' THEN CASE WHEN user_id % 7 = 1 THEN 'ns' || CAST(event_id % 9 AS STRING) || '.CloudFlare.com' ELSE 'ns.example.net' END
+      WHEN event_type = 'signup' THEN CASE WHEN user_id % 5 = 0 THEN 'V=SPF1 include' ELSE 'note' END
+      WHEN event_id % 3 = 0 THEN CASE WHEN user_id % 4 = 0 THEN '' ELSE 'mx.example.net' END
+      WHEN event_id % 3 = 1 THEN 'fe80::' || CAST(event_id % 100 AS STRING)
+      ELSE 'site.azureedge.net' END AS value,
+    CASE WHEN user_id % 50 = 3 THEN 'nxdomain'
+      WHEN user_id % 50 = 4 THEN CASE WHEN event_type = 'signup' THEN 'timeout' WHEN event_type = 'error' THEN 'nxdomain' ELSE 'error' END
+      WHEN user_id % 50 = 5 THEN 'success'
+      WHEN event_type = 'error' THEN 'timeout' ELSE 'success' END AS status
+  FROM events
+"""
+
+# Reputation checks: one per event.
+VIEWS["v_rep"] = """
+  SELECT event_id, 'd' || CAST(user_id % 50 AS STRING) || '.com' AS domain,
+    CASE user_id % 3 WHEN 0 THEN 'virustotal' WHEN 1 THEN 'abuseipdb' ELSE 'internal' END AS source,
+    event_type = 'error' AND user_id % 50 < 40 AS isMalicious,
+    CASE WHEN value > 150 THEN 1.0 ELSE value / 150 END AS confidence,
+    CASE event_id % 7 WHEN 0 THEN 'api_key_missing' WHEN 1 THEN 'check_failed' WHEN 2 THEN 'not_found'
+      WHEN 3 THEN 'no_data' WHEN 4 THEN 'phishing' WHEN 5 THEN '' ELSE NULL END AS category
+  FROM events
+"""
+
+# Vendor answers as JSON text.
+VIEWS["v_vendor"] = """
+  SELECT event_id AS key,
+    CASE WHEN event_id % 10 = 0 THEN '{"data":{"attributes":{}}}'
+      WHEN event_id % 10 = 1 THEN '{"data":{"attributes":{"last_analysis_stats":{"malicious":0,"suspicious":0}}}}'
+      ELSE '{"data":{"attributes":{"last_analysis_stats":{"malicious":' || CAST(event_id % 4 AS STRING)
+        || ',"suspicious":' || CAST(user_id % 3 AS STRING) || ',"harmless":' || CAST(event_id % 70 AS STRING)
+        || '},"categories":{"b":"' || event_type || '","a":"other"}}}}' END AS body,
+    '{"data":{"abuseConfidenceScore":' || CAST(event_id % 101 AS STRING) || ',"totalReports":' || CAST(user_id % 9 AS STRING)
+      || CASE WHEN event_id % 2 = 0 THEN ',"usageType":"' || event_type || '"' ELSE '' END || '}}' AS ip_body
+  FROM events
+"""
