@@ -288,13 +288,13 @@ def _cache_misses(spark, folder):
 
 
 @query("joi_03_cache_merge", with_views("""
-  WITH b AS (SELECT upper(domain) AS domain, observed_at, seq FROM v_dns WHERE seq % 2 = 0
-             UNION ALL SELECT domain, observed_at, seq FROM v_dns WHERE seq % 2 = 1)
+  WITH b AS (SELECT upper(domain) AS domain, observed_at, seq FROM v_dns WHERE observed_at < TIMESTAMP '2024-01-15'
+             UNION ALL SELECT domain, observed_at, seq FROM v_dns WHERE observed_at >= TIMESTAMP '2024-01-15')
   SELECT lower(domain) AS domain, max(observed_at) AS observed_at, arg_max(seq, (observed_at, seq)) AS seq FROM b GROUP BY lower(domain)""", "v_dns"))
 def _cache_merge(spark, folder):
     both = view(spark, folder, "v_dns").select("domain", "observed_at", "seq")
-    old = both.where("seq % 2 = 0").withColumn("domain", F.upper("domain"))
-    return E.merge_cache(old, both.where("seq % 2 = 1"))
+    old = both.where("observed_at < TIMESTAMP '2024-01-15'").withColumn("domain", F.upper("domain"))
+    return E.merge_cache(old, both.where("observed_at >= TIMESTAMP '2024-01-15'"))
 
 
 @query("joi_05_as_of_enrichment", with_views("""

@@ -68,6 +68,10 @@ def _phrase_pattern(lexicons: Sequence[rules.Lexicon]) -> str:
     return rf"(?:{'|'.join(parts)})(?!{WORD})"
 
 
+def _count_in(array: str, words: Sequence[str]) -> Column:
+    return F.size(F.filter(array, lambda item: item.isin(*words)))
+
+
 def add_phrase_counts(df: DataFrame, text: str, lexicons: Sequence[rules.Lexicon] = rules.LEXICONS) -> DataFrame:
     """Add one count column ``n_<category>`` per lexicon."""
     folded = [x for x in lexicons if not x.case_sensitive]
@@ -91,7 +95,7 @@ def add_phrase_counts(df: DataFrame, text: str, lexicons: Sequence[rules.Lexicon
         for x in some:
             mine = [p for p, cats in by_phrase.items() if x.category in cats]
             # A phrase counts once per matching phrase of the category (longer ones may hold shorter ones).
-            out[f"n_{x.category}"] = F.size(F.filter(source, lambda h, mine=mine: h.isin(*mine)))
+            out[f"n_{x.category}"] = _count_in(source, mine)
     return staged.withColumns(out).drop("_folded", "_exact")
 
 
