@@ -26,10 +26,16 @@ def _phrase_rows() -> str:
     return " UNION ALL ".join(out)
 
 
+_START = r"(^|[^A-Za-z0-9_.+-])"
+_MASK = _lit(_START + "(?:" + _TOKEN + ")")
+_MASK2 = _lit(_START + "(" + _TOKEN + ")")
+
 # Positions come from cutting at each phrase; the neighbours of a hit must not be word characters.
 TEXT_HITS = f"""
-  msk AS MATERIALIZED (SELECT msg_id, content, array_to_string(list_transform(string_split_regex(content, {_lit(_TOKEN)}),
-      lambda x, i: x || repeat('_', coalesce(length(regexp_extract_all(content, {_lit(_TOKEN)})[i]), 0))), '') AS masked FROM msgs),
+  msk0 AS (SELECT msg_id, content, string_split_regex(content, {_MASK}) AS cuts, regexp_extract_all(content, {_MASK2}, 0) AS whole,
+      regexp_extract_all(content, {_MASK2}, 2) AS token FROM msgs),
+  msk AS MATERIALIZED (SELECT msg_id, content, array_to_string(list_transform(cuts, lambda x, i:
+      x || coalesce(left(whole[i], length(whole[i]) - length(token[i])), '') || repeat('_', coalesce(length(token[i]), 0))), '') AS masked FROM msk0),
   cand AS ({_phrase_rows()}),
   cut AS (SELECT *, string_split(hay, phrase) AS pieces FROM cand),
   pos AS (SELECT *, list_sum(list_transform(pieces[1:i], lambda x: length(x))) + (i - 1) * length(phrase) AS start

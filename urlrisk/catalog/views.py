@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read_table
+
 AS_OF = "2024-02-01"
 
 VIEWS: dict[str, str] = {}
@@ -46,8 +48,12 @@ VIEWS["v_url"] = """
 """
 
 
+# Tables with texts or URLs, whose rows are costly.
+_COSTLY = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_table(spark, f"{folder}/{name}.parquet", spread=name in _COSTLY)
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",

@@ -31,6 +31,19 @@ def contains_any(col: Column, words: Iterable[str]) -> Column:
     return col.rlike(quote_all(words))
 
 
+def contains_any_plain(col: Column, words: Iterable[str]) -> Column:
+    """The same for case-exact words by byte search, several times faster on long text.
+
+    A word that holds another one of the list adds nothing and is left out.
+    """
+    words = list(words)
+    short = [w for w in words if not any(o != w and o in w for o in words)]
+    out = col.contains(short[0])
+    for word in short[1:]:
+        out = out | col.contains(word)
+    return out
+
+
 def percent_decode(col: Column, plus_is_space: bool = False) -> Column:
     """Percent-decode; malformed escapes stay as they are."""
     fixed = F.regexp_replace(col, r"%(?![0-9a-fA-F]{2})", "%25")

@@ -22,7 +22,7 @@ def normalised(url: Column) -> Column:
 
 def parsable(normal: Column) -> Column:
     """The text that is parsed: tab and line breaks are not part of a URL."""
-    return F.translate(normal, "\t\r\n", "")
+    return F.when(normal.rlike("[\t\r\n]"), F.translate(normal, "\t\r\n", "")).otherwise(normal)
 
 
 def netloc(text: Column) -> Column:

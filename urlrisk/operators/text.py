@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -19,11 +20,20 @@ from ..functions.staging import computed_once, explode_rows
 from ..functions.strings import present, quote_all, round_half_up
 from .urls import step_level
 
-# Word characters, and text that counts as one token.
+# Word characters.  The plain classes list their characters one by one: the regex
+# engine then tests them with one table lookup, which decides the speed here.
 WORD = r"[\p{L}\p{N}_]"
-TOKEN = (r"https?://\S+"
-         r"|[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-         r"|(?:[A-Za-z0-9-]+\.)+[a-z]{2,}(?:[/:?#]\S*)?")
+_PLAIN_WORD = string.ascii_letters + string.digits + "_"
+_NOT_PLAIN_WORD = f"[^{_PLAIN_WORD}]"
+_BEFORE_PHRASE = rf"(?<![\p{{L}}\p{{N}}])"
+
+# Text that counts as one token: web addresses, mail addresses, bare domains.  A
+# token starts the text or follows a character that none of them may hold.
+_LABEL = string.ascii_letters + string.digits + r"\-"
+_BEFORE_TOKEN = f"[^{_PLAIN_WORD}.+\\-]"
+TOKEN = (rf"https?://\S+"
+         rf"|[{_LABEL}_.+]++@[{_LABEL}]++(?:\.[{_LABEL}]++)+"
+         rf"|(?:[{_LABEL}]++\.)+[a-z]{{2,}}(?:[/:?#]\S*)?")
 
 COUNTS = tuple(f"n_{x.category}" for x in rules.LEXICONS)
 
@@ -49,16 +59,26 @@ def _categories_by_phrase(lexicons: Sequence[rules.Lexicon]) -> dict[str, list[s
     return out
 
 
+def _may_hold_token(text: Column) -> Column:
+    """Cheap test that spares most texts the token pattern."""
+    return text.contains("@") | text.contains("://") | text.rlike(r"\.[A-Za-z0-9\-]")
+
+
 def masked(text: Column) -> Column:
-    """Text with every token replaced by one filler character."""
-    return F.regexp_replace(text, TOKEN, "_")
+    """Text after one space, with every token replaced by one filler character."""
+    spaced = F.concat(F.lit(" "), text)
+    return F.when(_may_hold_token(text), F.regexp_replace(
+        spaced, f"({_BEFORE_TOKEN})(?:{TOKEN})", "$1_")).otherwise(spaced)
 
 
 def masked_in_place(text: Column) -> Column:
     """The same, keeping all positions."""
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    return F.array_join(F.transform(F.split(text, TOKEN), lambda p, i: F.concat(
+    spaced = F.concat(F.lit(" "), text)
+    pattern = f"(?<={_BEFORE_TOKEN})(?:{TOKEN})"
+    tokens = F.regexp_extract_all(spaced, F.lit(pattern), F.lit(0))
+    filled = F.array_join(F.transform(F.split(spaced, pattern), lambda p, i: F.concat(
         p, F.repeat(F.lit("_"), F.coalesce(F.length(F.get(tokens, i)), F.lit(0))))), "")
+    return F.when(_may_hold_token(text), filled).otherwise(spaced)
 
 
 def _phrase_pattern(lexicons: Sequence[rules.Lexicon]) -> str:
@@ -79,8 +99,10 @@ def add_phrase_counts(df: DataFrame, text: str, lexicons: Sequence[rules.Lexicon
 
     def found(source: Column, some: Sequence[rules.Lexicon], fold: bool) -> Column:
         phrases = [p.lower() if fold else p for x in some for p in x.phrases]
-        # Zero width, so overlapping phrases are all found.
-        pattern = rf"(?<!{WORD})(?=({_alternation(phrases)})(?!{WORD}))"
+        # Only the character before a phrase is consumed, so overlapping phrases are all found.
+        firsts = "".join(sorted({p[0] for p in phrases}))
+        pattern = (rf"{_NOT_PLAIN_WORD}(?=[{firsts}]){_BEFORE_PHRASE}"
+                   rf"(?=({_alternation(phrases)})(?!{WORD}))")
         return F.regexp_extract_all(source, F.lit(pattern), F.lit(1))
 
     empty = F.array().cast("array<string>")
@@ -102,9 +124,9 @@ def add_phrase_counts(df: DataFrame, text: str, lexicons: Sequence[rules.Lexicon
 def phrase_hits(df: DataFrame, text: str, *keys: str, lexicons: Sequence[rules.Lexicon] = rules.LEXICONS) -> DataFrame:
     """Long form: one row per hit with category, evidence, position and severity."""
     pattern = _phrase_pattern(lexicons)
-    cut = rf"(?<!{WORD})(?={pattern})"
-    # A leading space, so that the first piece never is a hit.
-    pieces = F.split(F.concat(F.lit(" "), F.col("_masked")), cut)
+    cut = rf"(?<={_NOT_PLAIN_WORD}){_BEFORE_PHRASE}(?={pattern})"
+    # The masked text starts with a space, so the first piece never is a hit.
+    pieces = F.split(F.col("_masked"), cut)
     long = (df.select(*keys, masked_in_place(F.coalesce(F.col(text), F.lit(""))).alias("_masked"))
             .select(*keys, pieces.alias("_pieces")).where(F.size("_pieces") > 1))
     long = computed_once(long, "_pieces")

@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import rules
 from ..functions import urlparts as U
 from ..functions.staging import computed_once, explode_rows
-from ..functions.strings import contains_any, percent_decode, present
+from ..functions.strings import contains_any_plain, percent_decode, present
 
 HIT_TYPE = "array<struct<rule:int,type:string,matched:string,severity:double,description:string>>"
 
-_PARTS = ("_normal", "_text", "_netloc", "_path", "_query", "_fragment", "_decoded", "_host", "_is_ip", "_bad")
+_PARTS = ("_normal", "_text", "_netloc", "_path", "_query", "_lowered", "_host", "_is_ip", "_bad")
 
 
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -31,8 +31,7 @@ def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
             "_netloc": U.netloc(F.col("_text")),
             "_path": U.path(F.col("_text")),
             "_query": U.query(F.col("_text")),
-            "_fragment": U.fragment(F.col("_text")),
-            "_decoded": percent_decode(F.col("_normal")),
+            "_lowered": percent_decode(F.lower("_normal")),
         })
         .withColumns({
             "_host": U.host_before_last_colon(F.col("_netloc")),
@@ -71,7 +70,6 @@ def _feature_columns() -> dict[str, Column]:
     normal, host = F.col("_normal"), F.col("_host")
     digits = F.length(host) - F.length(F.regexp_replace(host, r"\p{Nd}", ""))
     tld = F.when(F.col("_is_ip"), "").otherwise(U.last_labels(host, 1))
-    keyword_text = percent_decode(F.lower(normal))
     return {
         "urlLength": F.length(normal),
         "domainLength": F.length(host),
@@ -86,7 +84,7 @@ def _feature_columns() -> dict[str, Column]:
         "hasPortNumber": _has_port(),
         "hasSuspiciousTld": tld.isin(*rules.SUSPICIOUS_TLDS),
         "hasEncodedChars": normal.rlike("%[0-9a-fA-F]{2}"),
-        "hasSuspiciousKeywords": contains_any(keyword_text, rules.SUSPICIOUS_KEYWORDS),
+        "hasSuspiciousKeywords": contains_any_plain(F.col("_lowered"), rules.SUSPICIOUS_KEYWORDS),
         "digitRatio": F.when(host == "", 0.0).otherwise(digits / F.length(host)),
         "specialCharCount": F.length(F.translate(F.lower(normal), rules.URL_ALLOWED_CHARS, "")),
         "queryParamCount": U.query_key_count(F.col("_query")),
@@ -152,7 +150,7 @@ def add_components(parts: DataFrame, url: str = "url") -> DataFrame:
             "tld": tld,
             "path": F.when(usable, F.col("_path")).otherwise(""),
             "query": F.when(usable, blank_to_null(F.col("_query"))),
-            "fragment": F.when(usable, blank_to_null(F.col("_fragment"))),
+            "fragment": F.when(usable, blank_to_null(U.fragment(F.col("_text")))),
         })
         .drop("_site", "_labels")
     )
@@ -187,9 +185,10 @@ def add_hits(parts: DataFrame, url: str = "url", url_rules: Sequence[rules.UrlRu
     found = (present([hit(i, r) for i, r in enumerate(url_rules)]) if url_rules else F.array()).cast(HIT_TYPE)
     with_hits = (
         parts.withColumn("_site", F.when(usable, U.host_before_first_colon(F.col("_netloc"))).otherwise(""))
-        .withColumn("isLegitimate", U.in_domain_set(F.col("_site"), legitimate))
+        .withColumns({"isLegitimate": U.in_domain_set(F.col("_site"), legitimate),
+                      "_decoded": F.when(usable, percent_decode(F.col("_normal")))})
         .withColumn("hits", F.when(usable, found).otherwise(F.array().cast(HIT_TYPE)))
-        .drop("_site")
+        .drop("_site", "_decoded")
     )
     return computed_once(with_hits, "isLegitimate", "hits")
 
