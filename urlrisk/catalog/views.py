@@ -195,3 +195,56 @@ VIEWS["v_vendor"] = """
       || CASE WHEN event_id % 2 = 0 THEN ',"usageType":"' || event_type || '"' ELSE '' END || '}}' AS ip_body
   FROM events
 """
+
+# Feed rows from the pages, four per page, with copies that differ in case and final slashes.
+VIEWS["v_feed"] = """
+  SELECT page_id, copy, CASE WHEN copy = 1 THEN upper(url) || '//' WHEN copy = 2 AND page_id % 3 = 0 THEN url || '/' ELSE url END AS url,
+    (page_id + copy) % 6 AS priority,
+    CASE WHEN (page_id + copy) % 5 = 0 THEN ' NO ' ELSE 'Yes' END AS verified,
+    CASE WHEN (page_id + copy) % 7 = 0 THEN 'no' ELSE 'yes ' END AS online,
+    CASE page_id % 4 WHEN 0 THEN 'PayPal' WHEN 1 THEN '' WHEN 2 THEN 'Bank, Inc' ELSE 'Other' END AS target,
+    CASE page_id % 4 WHEN 0 THEN '4.9' WHEN 1 THEN '5' WHEN 2 THEN 'x' ELSE '7.25' END AS score
+  FROM (SELECT page_id, url, 0 AS copy FROM v_url UNION ALL SELECT page_id, url, 1 AS copy FROM v_url
+    UNION ALL SELECT page_id, url, 2 AS copy FROM v_url UNION ALL SELECT page_id, url, 3 AS copy FROM v_url) f
+"""
+
+# Ranked domains, one per event, with short, numeric and infrastructure names.
+VIEWS["v_ranked"] = """
+  SELECT CASE WHEN event_id % 50 = 7 THEN 'n/a' ELSE CAST(event_id AS STRING) END AS rank_text, event_id,
+    CASE event_id % 9 WHEN 0 THEN 'a.b' WHEN 1 THEN '12.34.56' WHEN 2 THEN 'x.notgvt1.com' WHEN 3 THEN ' WWW.Site' || CAST(event_id % 4000 AS STRING) || '.org '
+      WHEN 4 THEN '' ELSE 'site' || CAST(event_id % 4000 AS STRING) || '.org' END AS domain
+  FROM events
+"""
+
+# History rows, one per event.
+VIEWS["v_hist"] = """
+  SELECT CAST(event_id AS STRING) AS id, CASE WHEN event_id % 4 = 0 THEN 'say "' || event_type || '" ' || repeat('z', 58) ELSE event_type || ' ' || CAST(user_id AS STRING) END AS content,
+    CASE WHEN event_id % 3 = 0 THEN 'url' ELSE 'text' END AS contentType, score,
+    CASE WHEN score < 0.3 THEN 'safe' WHEN score < 0.5 THEN 'suspicious' WHEN score < 0.7 THEN 'dangerous' ELSE 'critical' END AS threatLevel,
+    score >= 0.5 AS isPhishing, ts AS analyzedAt, CASE WHEN event_id % 10 = 0 THEN 'error' WHEN event_id % 10 = 1 THEN 'pending' ELSE 'done' END AS status
+  FROM (SELECT event_id, ts, user_id, event_type, CASE WHEN value > 150 THEN 1.0 ELSE value / 150 END AS score FROM events) e
+"""
+
+# Feature rows with a constant column, a binary one, an outlier, gaps, duplicates and unequal classes.
+VIEWS["v_feat"] = """
+  SELECT CAST(l_quantity AS DOUBLE) AS urlLength, CAST(floor(l_extendedprice / 1000) AS DOUBLE) AS domainLength,
+    CASE WHEN l_suppkey % 17 = 0 THEN NULL ELSE l_discount END AS digitRatio, CAST(1 AS DOUBLE) AS hasEncodedChars,
+    CAST(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS DOUBLE) AS isHttps,
+    CAST(CASE WHEN l_orderkey % 997 = 0 THEN 100000 ELSE l_linenumber END AS DOUBLE) AS dnsRecordCount,
+    CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label
+  FROM lineitem
+"""
+
+# Scores with many ties.
+VIEWS["v_scored"] = """
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
+    CAST((l_orderkey * 31 + l_partkey * 17 + l_linenumber) % 1000 AS DOUBLE) / 1000 AS score
+  FROM lineitem
+"""
+
+# Attributions, wide; one feature contributes nothing.
+VIEWS["v_attr"] = """
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity - 25) / 50 AS urlLength, (l_extendedprice - 50000) / 100000 AS domainLength,
+    l_discount - 0.05 AS hasValidMx, (l_extendedprice / l_quantity - 2000) / 4000 + l_tax AS dnsRecordCount, CAST(0 AS DOUBLE) AS isHttps
+  FROM lineitem
+"""
