@@ -219,16 +219,20 @@ def validate(df: DataFrame, names: Sequence[str] = rules.ALL_FEATURES) -> DataFr
                   F.lit(len(df.columns) == expected).alias("complete"), F.count("*").alias("rows"))
 
 
-def prepare(df: DataFrame, seed: int = 42, write_to: str | None = None) -> tuple[DataFrame, list[str]]:
-    """All steps in their fixed order; ``write_to`` is a folder for the de-duplicated table.
+def prepare(df: DataFrame, folder: str, seed: int = 42) -> tuple[DataFrame, list[str]]:
+    """All steps in their fixed order; gives the split table and the dropped columns.
 
-    The later steps read their input several times, so it is written once; without
-    a folder it is recomputed.
+    The choice of rows reads its input several times, so the three stages are
+    written below ``folder`` (shared by all executors) and read back: no stage is
+    computed twice, and a lost executor costs one stage at most.
     """
+    spark = df.sparkSession
+
+    def stored(table: DataFrame, name: str) -> DataFrame:
+        table.write.mode("errorifexists").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
     kept, dropped = drop_constant(df)
-    unique = with_row_key(drop_duplicates(kept))
-    if write_to:
-        unique.write.mode("errorifexists").parquet(write_to)
-        unique = df.sparkSession.read.parquet(write_to)
-    clipped = clip(unique, clip_bounds(unique))
-    return split(balance(fill_medians(clipped), seed), seed), dropped
+    unique = stored(with_row_key(drop_duplicates(kept)), "unique")
+    balanced = stored(balance(fill_medians(clip(unique, clip_bounds(unique))), seed), "balanced")
+    return stored(split(balanced, seed), "split"), dropped

@@ -15,7 +15,7 @@ COLUMNS = ("id", "content", "contentType", "threatLevel", "score", "isPhishing",
 
 def entry_id(content: Column, at: Column) -> Column:
     """Id that depends on content and time only: a task that runs again writes the same id."""
-    return F.sha2(F.concat_ws("\u0001", content, F.unix_micros(at).cast("string")), 256)
+    return F.sha2(F.concat_ws("\u0001", content, F.unix_micros(at.cast("timestamp")).cast("string")), 256)
 
 
 def to_entries(results: DataFrame) -> DataFrame:
