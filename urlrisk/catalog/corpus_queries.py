@@ -13,9 +13,9 @@ from ..functions import urlparts as U
 from ..operators import enrich as E, feeds, report
 from ..session import new_folder
 from ..sources import feeds as R, sinks
-from .osint_queries import dns_cache
+from .osint_queries import DNS, dns_cache
 from .registry import query
-from .url_queries import _alt, _list
+from .url_queries import _alt, from_urls
 from .views import view, with_views
 
 # Domain of a feed URL for DuckDB: location or first path segment, no userinfo, port or outer dots.
@@ -154,7 +154,8 @@ def _labelled(spark, folder):
     return R.read_labelled(spark, bad, good)
 
 
-@query("src_10_feature_file")
+@query("src_10_feature_file", with_views("""SELECT urlLength AS "urlLength", domainLength AS "domainLength", isHttps AS "isHttps", hasEncodedChars AS "hasEncodedChars",
+   digitRatio AS "digitRatio", dnsRecordCount AS "dnsRecordCount", label FROM v_feat""", "v_feat"))
 def _feature_file(spark, folder):
     path = new_folder(spark, "src10")
     view(spark, folder, "v_feat").write.option("header", True).csv(path)
@@ -168,7 +169,8 @@ def _url_list(spark, folder):
     return R.read_url_list(spark, path)
 
 
-@query("src_12_dns_cache")
+@query("src_12_dns_cache", with_views(f"""WITH {DNS} SELECT domain, status = 'success' AS "hasValidDns", mx AS "hasValidMx", cdn AS "usesCdn",
+   nA + nAAAA + nMX + nNS + nTXT + nCNAME AS "dnsRecordCount", TIMESTAMP '2024-01-01' AS observed_at FROM dns""", "v_dns"))
 def _cache(spark, folder):
     path = new_folder(spark, "src12")
     dns_cache(spark, folder).withColumns({"domain": F.upper("domain"), "observed_at": F.lit("2024-01-01").cast("timestamp")}).write.parquet(path)
@@ -279,14 +281,19 @@ def _metadata(spark, folder):
     return report.dataset_metadata(table(spark, folder, "documents"), "lang", "source")
 
 
-@query("snk_01_feed_csv")
+@query("snk_01_feed_csv", with_views(f"WITH {FEED} SELECT " + _COLS.format(
+    src="'openphish'", fid="NULL", vt="NULL", tgt="nullif(target, '')").replace("1 AS label", "'1' AS label") + " FROM f WHERE domain <> ''", "v_feed"))
 def _write_feed(spark, folder):
     path = new_folder(spark, "snk01")
     sinks.write_feed(feeds.as_feed(_feed(spark, folder).select("url", "target"), "openphish"), path)
-    return spark.read.option("header", True).option("escape", '"').csv(path)
+    table = spark.read.option("header", True).option("escape", '"').csv(path)
+    # A plain CSV reader may give an empty field as null or as empty text.
+    return table.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in table.columns])
 
 
-@query("snk_02_features")
+@query("snk_02_features", from_urls("SELECT " + ", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in rules.URL_FEATURES)
+       + ", " + ", ".join(f'{"NULL" if c == "domainAgeDays" else "0.0"}::DOUBLE AS "{c}"' for c in rules.OSINT_FEATURES)
+       + ", CAST(page_id % 2 AS INT) AS label FROM feats2 WHERE page_id % 5 <> 0"))
 def _write_features(spark, folder):
     from ..operators.urls import url_features
     path, rejected = new_folder(spark, "snk02"), new_folder(spark, "snk02-rejected")

@@ -168,10 +168,12 @@ def _batch_csv(spark, folder):
     return sinks.batch_export(rows)
 
 
-@query("snk_06_batch_json")
+@query("snk_06_batch_json", with_views("""SELECT content AS url, threatLevel AS "threatLevel", round(score, 6) AS "confidenceScore", isPhishing AS "isPhishing"
+   FROM v_hist WHERE status = 'done'""", "v_hist"))
 def _batch_json(spark, folder):
     path = new_folder(spark, "snk06")
     rows = _hist(spark, folder).withColumns({"url": F.col("content"), "confidenceScore": F.col("score"),
                                              "analysisTime": F.col("score") * 1000, "reasons": F.array("threatLevel")})
     sinks.write_batch_json(rows, path)
-    return spark.read.schema("url string, threatLevel string, confidenceScore double, isPhishing boolean").json(path)
+    table = spark.read.schema("url string, threatLevel string, confidenceScore double, isPhishing boolean").json(path)
+    return table.withColumn("confidenceScore", F.round("confidenceScore", 6))

@@ -100,7 +100,16 @@ def _model_score(spark, folder):
     return score_urls(urls, model=model).select("url_id", F.round("finalScore", 6).alias("finalScore"), "riskLevel", F.round("confidence", 6).alias("confidence"))
 
 
-@query("url_10_model_vectors")
+def _vector_sql():
+    from .. import rules
+    from .url_queries import from_urls
+    value = lambda c: f'CAST("{c}" AS DOUBLE)' if c in rules.URL_FEATURES else "NULL::DOUBLE" if c == "domainAgeDays" else "0.0::DOUBLE"
+    one = lambda names, label: (f"SELECT page_id AS url_id, '{label}' AS vector, {len(names)} AS width, "
+                                + " || ',' || ".join(f"coalesce(CAST(round({value(c)}, 4) AS VARCHAR), '-')" for c in names) + " AS \"values\" FROM feats2")
+    return from_urls(" UNION ALL ".join((one(rules.ALL_FEATURES, "all"), one(rules.MODEL_FEATURES, "model"), one(rules.OSINT_FEATURES, "osint"))))
+
+
+@query("url_10_model_vectors", _vector_sql())
 def _vectors(spark, folder):
     """The 29-, 21- and 12-wide vectors of URLs without enrichment."""
     from .. import rules
@@ -108,6 +117,7 @@ def _vectors(spark, folder):
     from ..plans.scoring import score_urls
     rows = score_urls(view(spark, folder, "v_url").withColumnRenamed("page_id", "url_id"))
     one = lambda names, label: as_vector_columns(rows, names, "url_id").select(
-        "url_id", F.lit(label).alias("vector"), F.lit(len(names)).alias("width"), F.array(*names).alias("values"))
+        "url_id", F.lit(label).alias("vector"), F.lit(len(names)).alias("width"),
+        F.concat_ws(",", *[F.coalesce(F.round(n, 4).cast("string"), F.lit("-")) for n in names]).alias("values"))
     return (one(rules.ALL_FEATURES, "all").unionByName(one(rules.MODEL_FEATURES, "model"))
             .unionByName(one(rules.OSINT_FEATURES, "osint")))

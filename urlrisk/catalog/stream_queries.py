@@ -23,14 +23,14 @@ def _score_stream(spark, folder):
     return flat_verdicts(spark.read.parquet(out))
 
 
-@query("str_02_dedupe_stream")
+@query("str_02_dedupe_stream", with_views("SELECT DISTINCT rtrim(lower(url), '/') AS url_key FROM v_feed", "v_feed"))
 def _dedupe_stream(spark, folder):
     source, out, checkpoint = (new_folder(spark, f"str02-{n}") for n in ("in", "out", "checkpoint"))
     feed = view(spark, folder, "v_feed").select(
         "page_id", "url", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=(F.col("page_id") % 600).cast("int"))).alias("ts"))
     feed.write.parquet(source)
     stream = spark.readStream.schema("page_id long, url string, ts timestamp").parquet(source)
-    jobs.append_stream(jobs.dedupe_feed(stream).select("url_key", "ts"), out, checkpoint).awaitTermination()
+    jobs.append_stream(jobs.dedupe_feed(stream).select("url_key"), out, checkpoint).awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -42,7 +42,9 @@ def _level_counts(spark, folder):
     return jobs.level_counts(view(spark, folder, "v_hist"))
 
 
-@query("str_03_level_counts_stream")
+# The stream gives a window once the newest row is one hour (the delay) past its end.
+@query("str_03_level_counts_stream", with_views(f"""SELECT date_trunc('hour', analyzedAt) AS "windowStart", {_LEVELS}, count(*) AS total FROM v_hist GROUP BY 1
+   HAVING date_trunc('hour', analyzedAt) + INTERVAL 2 HOURS <= (SELECT max(analyzedAt) FROM v_hist)""", "v_hist"))
 def _level_counts_stream(spark, folder):
     source, out, checkpoint = (new_folder(spark, f"str03-{n}") for n in ("in", "out", "checkpoint"))
     view(spark, folder, "v_hist").select("threatLevel", F.col("analyzedAt").cast("timestamp").alias("analyzedAt")).write.parquet(source)

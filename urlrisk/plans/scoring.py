@@ -19,10 +19,14 @@ RESULT = (
 )
 
 
-def content_signals(messages: DataFrame) -> DataFrame:
+def content_signals(messages: DataFrame, url_rules=U.rules.URL_RULES, legitimate=U.rules.LEGITIMATE_BRAND_DOMAINS,
+                    analyser=T.text_analysis) -> DataFrame:
     """All signals that need the content: type, domain, URL features, URL hits, text verdict.
 
     Input: ``msg_id, content, content_type`` and any other columns, which stay.
+    ``url_rules`` and ``legitimate`` replace the pattern rules and the brand hosts;
+    ``analyser`` is any function (table, text column, type column) that adds the
+    columns of the text analysis.
     """
     checked = C.add_request_error(messages)
     given = F.col("content_type")
@@ -33,8 +37,8 @@ def content_signals(messages: DataFrame) -> DataFrame:
     # The pattern rules apply to URLs only; other rows pass a null and skip them.
     parts = U.with_parts(routed, "content").withColumn("_url", F.when(F.col("kind") == "url", F.col("content")))
     out = U.add_feature_counts(U.add_features(parts, "content"))
-    out = U.drop_parts(U.add_structural_score(U.add_hits(out, "_url"), "_url")).drop("_url", "hits", "notes", "structuralLevel")
-    return T.text_analysis(out, "content", "kind").drop("content", "content_type")
+    out = U.drop_parts(U.add_structural_score(U.add_hits(out, "_url", url_rules, legitimate), "_url")).drop("_url", "hits", "notes", "structuralLevel")
+    return analyser(out, "content", "kind").drop("content", "content_type")
 
 
 def verdicts(signals: DataFrame, bundle: DataFrame, weights: S.Weights = S.Weights(),
@@ -84,9 +88,13 @@ _SIGNALS = frozenset(
     + tuple(c for c, _, _ in T.KINDS) + tuple(U.rules.URL_FEATURES))
 
 
-def score_messages(messages: DataFrame, bundle: DataFrame, **options) -> DataFrame:
-    """Messages ``(msg_id, content, content_type)`` and the per-domain bundle -> verdicts."""
-    return verdicts(content_signals(messages), bundle, **options)
+def score_messages(messages: DataFrame, bundle: DataFrame, weights: S.Weights = S.Weights(),
+                   thresholds: S.Thresholds = S.Thresholds(), model=None, **extensions) -> DataFrame:
+    """Messages ``(msg_id, content, content_type)`` and the per-domain bundle -> verdicts.
+
+    ``extensions`` are the replaceable parts of ``content_signals``.
+    """
+    return verdicts(content_signals(messages, **extensions), bundle, weights, thresholds, model)
 
 
 def score_urls(urls: DataFrame, bundle: DataFrame | None = None, url: str = "url", key: str = "url_id",
