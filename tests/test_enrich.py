@@ -90,3 +90,23 @@ def test_keys(spark):
     row = spark.createDataFrame([(" //WWW.a.com.:80/x ", "https://www.B.org?x")], "a string, b string").select(
         E.dns_key(F.col("a")).alias("a"), E.whois_key(F.col("b")).alias("b")).first()
     assert tuple(row) == ("a.com", "b.org")
+
+
+def test_rows_without_a_key_are_spread(spark):
+    left = spark.range(4000).select("id", F.lit(None).cast("string").alias("domain"))
+    right = spark.createDataFrame([("a.com", 1)], "domain string, v int")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "false")
+        df = E.spread_left_join(left, right, "domain", "id")
+        assert "hashpartitioning(_join_key" in df._jdf.queryExecution().executedPlan().toString()
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        # The plan of the counts keeps the partitions of the join.
+        assert sum(sizes) == 4000
+        per_part = [r["n"] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()]
+        assert len(per_part) == 8 and max(per_part) < 2000
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)

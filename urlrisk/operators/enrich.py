@@ -239,9 +239,10 @@ def spread_left_join(left: DataFrame, right: DataFrame, key: str, spread_by: str
     hot key are split by adaptive execution (skew join), which works here since
     ``right`` has one row per key and this is the only join of the big side.
     """
-    slice_of = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(slices))).otherwise(0)
-    return (left.withColumn("_slice", slice_of.cast("int"))
-            .join(right.withColumn("_slice", F.lit(0)), [key, "_slice"], "left").drop("_slice"))
+    # A stand-in for the missing key that no key equals; one per slice.
+    filler = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(spread_by), F.lit(slices)).cast("string"))
+    return (left.withColumn("_join_key", F.coalesce(F.col(key), filler))
+            .join(right.withColumnRenamed(key, "_join_key"), "_join_key", "left").drop("_join_key"))
 
 
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, hot_rows: int = 1_000_000,
