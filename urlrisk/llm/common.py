@@ -42,6 +42,20 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+class Letters:
+    """Which code points a predicate of one character holds for; the first 65,536 in a table."""
+
+    def __init__(self, holds: Callable[[str], bool]):
+        self.holds = holds
+        self.plane = np.fromiter((holds(chr(i)) for i in range(0x10000)), bool, 0x10000)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        found = self.plane[np.minimum(codes, 0xFFFF)]
+        for code in np.unique(codes[codes > 0xFFFF]):
+            found[codes == code] = self.holds(chr(code))
+        return found
+
+
 def ascii_view(text: str) -> bytes:
     """One byte per code point: ASCII as it is, ``?`` for all else, so that offsets are code points."""
     return text.encode("ascii", "replace")

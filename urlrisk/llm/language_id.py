@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import code_points
+from .common import Letters, code_points
 
 PROFILE = 300  # n-grams in a list
 PIECE = 1 << 19  # code points counted at a time
@@ -33,19 +33,6 @@ HELD = 1 << 20  # counts a task keeps before it hands them on
 UNKNOWN = "und"
 
 
-class Letters:
-    """Which code points are letters; the first 65,536 in a table."""
-
-    def __init__(self):
-        self.plane = np.fromiter((chr(i).isalpha() for i in range(0x10000)), bool, 0x10000)
-
-    def __call__(self, codes: np.ndarray) -> np.ndarray:
-        letter = self.plane[np.minimum(codes, 0xFFFF)]
-        for code in np.unique(codes[codes > 0xFFFF]):
-            letter[codes == code] = chr(code).isalpha()
-        return letter
-
-
 def _spaced(text: str, letters: Letters) -> np.ndarray:
     """Code points, each run of other characters as one space, a space at both ends."""
     codes = code_points(text.lower())
@@ -100,7 +87,7 @@ def gram_counts(text: str | None, letters: Letters) -> tuple[np.ndarray, np.ndar
 
 def _learn(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    size, letters = 0, Letters()
+    size, letters = 0, Letters(str.isalpha)
 
     def out() -> Iterator[pa.RecordBatch]:
         for lang, parts in held.items():
@@ -176,7 +163,7 @@ def identify(docs: DataFrame, rows: list, text: str = "text", pred: str = "lang_
     schema = docs.select(*kept).schema.add(pred, "string").add(score, "double")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = Letters()
+        letters = Letters(str.isalpha)
         for batch in source:
             found = [model.classify(t, letters) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays(

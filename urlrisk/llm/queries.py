@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog.registry import Query
-from . import language_id, sql
+from . import language_id, near_dedup, sql
 from .common import table
 
 QUERIES: dict[str, Query] = {}
@@ -29,3 +29,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     rows = language_id.learned(docs.where(~held_out()))
     return language_id.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), rows).drop("text")
+
+
+@query("op1_near_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the id of its class of near copies, and whether it is the one that stays."""
+    found = near_dedup.classes(table(spark, folder, "documents"))
+    return found.withColumn("stays", F.col("doc_id") == F.col("class_id"))
