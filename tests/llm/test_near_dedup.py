@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from urlrisk.llm import near_dedup as N
+from urlrisk.llm.words import Hasher
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 
@@ -108,12 +109,12 @@ def test_awkward_rows(spark):
 
 def test_exact_similarity_and_its_estimate():
     rng = np.random.default_rng(1)
-    hasher = N.Hasher()
+    hasher = Hasher()
     a = [f"w{i % 37}" for i in rng.integers(0, 60, 150)]
     b = list(a)
     for i in range(0, 150, 40):
         b[i] = "changed"
-    s, t = hasher.shingles(" ".join(a)), hasher.shingles(" ".join(b))
+    s, t = hasher.shingles(" ".join(a), 5), hasher.shingles(" ".join(b), 5)
     exact = similarity(shingles(" ".join(a)), shingles(" ".join(b)))
     assert abs(N.probability_jaccard(s, t) - exact) < 1e-9
     who = N.sketches([s, t], 4096)

@@ -50,6 +50,8 @@ class Letters:
         self.plane = np.fromiter((holds(chr(i)) for i in range(0x10000)), bool, 0x10000)
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
+        if not len(codes) or codes.max() <= 0xFFFF:
+            return self.plane[codes]
         found = self.plane[np.minimum(codes, 0xFFFF)]
         for code in np.unique(codes[codes > 0xFFFF]):
             found[codes == code] = self.holds(chr(code))

@@ -33,52 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Letters, batches, code_points, mix64, stored
+from .common import batches, mix64, stored
+from .words import STEP, Hasher
 
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 28, 6
-STEP = np.uint64(0x9E3779B97F4A7C15)
-BASE = 0x100000001B3  # odd, so that its powers have inverses
-
-
-class Hasher:
-    """Hashes of the words of a text, all at once."""
-
-    def __init__(self):
-        self.word = Letters(str.isalnum)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-
-    def words(self, text: str) -> np.ndarray:
-        codes = code_points(text.lower())
-        if not len(codes):
-            return np.empty(0, np.uint64)
-        self._powers(len(codes))
-        inside = np.r_[False, self.word(codes), False]
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        begin, end = edges[::2], edges[1::2]
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes + np.uint64(1)) * self.up[:len(codes)], out=sums[1:])
-        return mix64((sums[end] - sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
-
-    def shingles(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles (sorted) and their counts."""
-        w = self.words(text)
-        if not len(w):
-            return w, np.empty(0, np.int64)
-        n = min(WORDS, len(w))
-        total = np.zeros(len(w) - n + 1, np.uint64)
-        for i in range(n):
-            total = mix64(total + STEP) + w[i:len(w) - n + 1 + i]
-        return np.unique(mix64(total), return_counts=True)
 
 
 def sketches(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.ndarray:
@@ -142,7 +102,7 @@ def _sketch_batch(bands: int, rows: int):
     def run(ids, texts):
         if not hasher:
             hasher.append(Hasher())
-        sets = [hasher[0].shingles(t) for t in texts]
+        sets = [hasher[0].shingles(t, WORDS) for t in texts]
         keys = band_keys(sketches(sets, bands * rows), bands, rows)
         return {"doc_id": pa.array(ids, pa.int64()),
                 "bands": [k if len(s[0]) else [] for k, s in zip(keys, sets)]}
@@ -170,7 +130,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
         def of(node, text):
             if node not in known:
-                known[node] = hasher[0].shingles(text)
+                known[node] = hasher[0].shingles(text, WORDS)
             return known[node]
 
         good = [probability_jaccard(of(i, s), of(j, t)) >= similar - 1e-9 for i, j, s, t in zip(a, b, left, right)]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog.registry import Query
-from . import language_id, near_dedup, sql
-from .common import table
+from . import decontaminate, language_id, mixture, near_dedup, shards, sql
+from .common import stored, table
 
 QUERIES: dict[str, Query] = {}
 
@@ -36,3 +36,23 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the id of its class of near copies, and whether it is the one that stays."""
     found = near_dedup.classes(table(spark, folder, "documents"))
     return found.withColumn("stays", F.col("doc_id") == F.col("class_id"))
+
+
+@query("op5_decontamination")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of a document and a benchmark item of which it covers one half or more."""
+    return decontaminate.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_mixture", sql.MIXTURE)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    sized = stored(table(spark, folder, "documents").select("doc_id", "source", mixture.word_count().alias("words")), "words")
+    return mixture.take(sized, size=F.col("words")).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_shards", sql.SHARDS)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document; sizes near equal."""
+    found = shards.assign(table(spark, folder, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -43,3 +43,43 @@ best AS (SELECT r, lang, 1.0::DOUBLE - distance::DOUBLE / (300 * m)::DOUBLE AS s
 SELECT d.doc_id, d.held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(b.score, 0) AS score
 FROM d LEFT JOIN best b ON b.r = d.r
 """
+
+MIXTURE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+w AS (SELECT *, CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+o AS (SELECT *, sum(words) OVER () AS total, coalesce(sum(3 * words) OVER u, 0) AS used,
+             sum(weight) OVER () - coalesce(sum(weight) OVER u, 0) AS rest, row_number() OVER (ORDER BY 3 * words / weight, k) AS place
+      FROM w WINDOW u AS (ORDER BY 3 * words / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+stop AS (SELECT coalesce(min(place), 1000000000) AS place FROM o WHERE (total - used) * weight <= 3 * words * rest),
+level AS (SELECT (total - used)::DOUBLE / rest::DOUBLE AS level FROM o WHERE place = (SELECT place FROM stop)),
+t AS (SELECT source, k, words, total, CASE WHEN place < (SELECT place FROM stop) THEN (3 * words)::DOUBLE ELSE (SELECT level FROM level) * weight END AS target FROM o),
+u AS (SELECT *, floor(target * 1024)::HUGEINT AS units FROM t),
+b AS (SELECT *, coalesce(sum(units) OVER (ORDER BY k) * 2147483648 // nullif(sum(units) OVER (), 0), 0) AS till FROM u),
+c AS (SELECT *, coalesce(lag(till) OVER (ORDER BY k), 0) AS since FROM b),
+slot AS (SELECT ((i % 2147483648) * 1327217885) % 2147483648 AS point FROM range((SELECT ((sum(words) + 31) // 32)::BIGINT FROM s)) AS r(i)),
+n AS (SELECT c.k, count(*) AS n FROM slot JOIN c ON point >= since AND point < till GROUP BY c.k),
+g AS (SELECT t.*, least(coalesce(n.n, 0) * 32, 3 * words) AS taken FROM t LEFT JOIN n ON n.k = t.k),
+p AS (SELECT d.doc_id, d.size, g.words, g.target, g.taken,
+             coalesce(sum(d.size) OVER (PARTITION BY g.k ORDER BY md5(concat_ws(':', d.doc_id, d.size)), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, words AS source_size, target,
+       CASE WHEN size > 0 THEN (taken // words) * size + least(greatest(taken % words - start, 0), size) ELSE 0 END::BIGINT AS taken
+FROM p
+"""
+
+SHARDS = f"""
+WITH RECURSIVE d AS (SELECT doc_id, (coalesce(strlen(text), 0) + 1)::BIGINT AS size, {crc32("coalesce(text, '')")} AS text_crc32, md5(coalesce(text, '')) AS digest FROM documents),
+g AS (SELECT digest, sum(size)::BIGINT AS bytes FROM d GROUP BY digest),
+i AS (SELECT CASE WHEN bytes * 4096 >= (SELECT sum(bytes) FROM g) THEN digest ELSE substr(digest, 1, 3) END AS item, digest, bytes FROM g),
+o AS (SELECT item, bytes, row_number() OVER (ORDER BY bytes DESC, item) AS place FROM (SELECT item, sum(bytes)::BIGINT AS bytes FROM i GROUP BY item)),
+l AS (SELECT 0::BIGINT AS place, NULL::VARCHAR AS item, 0::BIGINT AS shard, list_transform(range(16), lambda x: 0::BIGINT) AS load
+      UNION ALL
+      SELECT o.place, o.item, list_position(l.load, list_min(l.load)) - 1,
+             list_transform(l.load, lambda x, n: CASE WHEN n = list_position(l.load, list_min(l.load)) THEN x + o.bytes ELSE x END)
+      FROM l JOIN o ON o.place = l.place + 1)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY substr(md5(concat_ws(':', doc_id, text_crc32)), 1, 3), doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+       NULL::INTEGER AS grown_shard
+FROM d JOIN i USING (digest) JOIN l ON l.item = i.item
+"""
