@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog.registry import Query
-from . import decontaminate, language_id, mixture, near_dedup, shards, sql
+from . import decontaminate, language_id, mixture, near_dedup, pii, secret_scan, shards, sql
 from .common import stored, table
+from .spans import digest_columns
 
 QUERIES: dict[str, Query] = {}
 
@@ -56,3 +57,15 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Shard and slot of every document; sizes near equal."""
     found = shards.assign(table(spark, folder, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op6_secrets")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document."""
+    return secret_scan.find(table(spark, folder, "documents")).select("doc_id", *digest_columns(secret_scan.KINDS))
+
+
+@query("op9_pii")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.find(table(spark, folder, "documents")).select("doc_id", *digest_columns(pii.KINDS))
