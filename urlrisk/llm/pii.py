@@ -169,7 +169,8 @@ def votes(view: bytes, kind: str, start: int, end: int) -> tuple[int, ...]:
     """What the labelers say of a candidate: 1, -1, or 0 for nothing."""
     piece, before = view[start:end], view[max(0, start - AROUND):start]
     cue, against = re.search(CUES[kind], before, re.IGNORECASE), AGAINST.search(before)
-    glued = before[-1:].isalnum() or view[end:end + 1].isalnum() or before[-1:] in (b".", b"-", b"_") or view[end:end + 2][:1] == b"." and view[end + 1:end + 2].isdigit()
+    after = view[end:end + 2]
+    glued = before[-1:].isalnum() or before[-1:] in (b".", b"-", b"_") or after[:1].isalnum() or after[:1] in (b".", b"-", b"_") and after[1:].isalnum()
     return _shape(kind, piece), _listed(kind, piece), -1 if against else 1 if cue else 0, -1 if glued else 1
 
 
