@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog.registry import Query
-from . import decontaminate, language_id, mixture, near_dedup, pii, secret_scan, shards, sql
+from . import decontaminate, language_id, licenses, mixture, near_dedup, pii, secret_scan, shards, sql
 from .common import stored, table
 from .spans import digest_columns
 
@@ -69,3 +69,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data of every document."""
     return pii.find(table(spark, folder, "documents")).select("doc_id", *digest_columns(pii.KINDS))
+
+
+@query("op10_licenses", sql.licenses())
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Licenses of every document."""
+    found = licenses.scan(table(spark, folder, "documents"))
+    everything = F.array_sort(F.array_union("base_labels", F.transform("detections", lambda d: d["label"])))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base_labels"), ",").alias("base_labels"),
+                        F.array_join(everything, ",").alias("labels"), F.coalesce(F.array_max(F.transform("detections", lambda d: d["score"])), F.lit(0.0)).alias("score"))

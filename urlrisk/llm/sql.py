@@ -83,3 +83,27 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
        NULL::INTEGER AS grown_shard
 FROM d JOIN i USING (digest) JOIN l ON l.item = i.item
 """
+
+
+def licenses() -> str:
+    """The license rules and base phrases over spaced words."""
+    from .licenses import BASE, SEPARATORS, rules
+    values = ", ".join(f"({place}, '{label}', '{keyword}', {certainty}::DOUBLE, '{pattern}')" for place, label, keyword, certainty, pattern in rules())
+    phrases = ", ".join(f"('{phrase}', '{label}', ' {phrase.replace(' ', '  ')} ')" for phrase, label in BASE)
+    return f"""
+WITH r(place, label, keyword, score, regex) AS (VALUES {values}),
+b(phrase, label, spaced_phrase) AS (VALUES {phrases}),
+d AS (SELECT doc_id, row_number() OVER () AS n, len(regexp_extract_all(lower(coalesce(text, '')), '{SEPARATORS.replace('[', '[^', 1)}'))::BIGINT AS n_words,
+             ' ' || replace(trim(regexp_replace(lower(coalesce(text, '')), '{SEPARATORS}', ' ', 'g'), ' '), ' ', '  ') || ' ' AS t FROM documents),
+h AS (SELECT n, place, label, score, regexp_extract_all(t, regex) AS hits, string_split_regex(t, regex) AS rest FROM d JOIN r ON contains(t, keyword) AND regexp_matches(t, regex)),
+e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM h),
+f AS (SELECT n, place, label, score, list_sum(list_transform(rest[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0) AS since, length(hits[k]) AS size FROM e),
+s AS (SELECT * FROM f QUALIFY since + size > coalesce(max(since + size) OVER (PARTITION BY n ORDER BY since, size DESC, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)),
+p AS (SELECT d.n, b.label, string_split(t, spaced_phrase) AS rest, len(string_split(phrase, ' ')) AS words, n_words FROM d JOIN b ON contains(t, spaced_phrase)),
+q AS (SELECT n, sum(len(rest) - 1)::BIGINT AS n_base, min((length(rest[1]) - length(replace(rest[1], ' ', ''))) // 2) AS first_word,
+             max(n_words - (length(rest[-1]) - length(replace(rest[-1], ' ', ''))) // 2 - words) AS last_word, list(label) AS labels FROM p GROUP BY n),
+m AS (SELECT n, list(label) AS labels, max(score) AS score FROM s GROUP BY n)
+SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(q.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(q.labels, []), coalesce(m.labels, [])))), ','), '') AS labels, coalesce(m.score, 0)::DOUBLE AS score
+FROM d LEFT JOIN q ON q.n = d.n LEFT JOIN m ON m.n = d.n
+"""
