@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog.registry import Query
-from . import decontaminate, language_id, licenses, mixture, near_dedup, pii, secret_scan, shards, sql
+from . import ann, decontaminate, language_id, licenses, mixture, near_dedup, pii, secret_scan, shards, sql
 from .common import stored, table
 from .spans import digest_columns
 
@@ -78,3 +78,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     everything = F.array_sort(F.array_union("base_labels", F.transform("detections", lambda d: d["label"])))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base_labels"), ",").alias("base_labels"),
                         F.array_join(everything, ",").alias("labels"), F.coalesce(F.array_max(F.transform("detections", lambda d: d["score"])), F.lit(0.0)).alias("score"))
+
+
+@query("op3_nearest_neighbours", sql.NEIGHBOURS)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty nearest vectors of every vector whose id is divisible by 20."""
+    coded, size = ann.index(table(spark, folder, "embeddings"))
+    return ann.search(coded, size, F.col("vec_id") % 20 == 0)

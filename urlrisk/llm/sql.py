@@ -107,3 +107,11 @@ SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, co
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(q.labels, []), coalesce(m.labels, [])))), ','), '') AS labels, coalesce(m.score, 0)::DOUBLE AS score
 FROM d LEFT JOIN q ON q.n = d.n LEFT JOIN m ON m.n = d.n
 """
+
+NEIGHBOURS = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+             AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20
+"""
