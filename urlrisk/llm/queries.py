@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog.registry import Query
-from . import ann, decontaminate, language_id, licenses, mixture, near_dedup, pii, secret_scan, shards, sql
+from . import ann, decontaminate, html_extract, language_id, licenses, mixture, near_dedup, pii, secret_scan, shards, sql
 from .common import stored, table
 from .spans import digest_columns
 
@@ -85,3 +85,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     """The twenty nearest vectors of every vector whose id is divisible by 20."""
     coded, size = ann.index(table(spark, folder, "embeddings"))
     return ann.search(coded, size, F.col("vec_id") % 20 == 0)
+
+
+@query("op2_main_text", sql.MAIN_TEXT)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    found = html_extract.extract(pages, html_extract.fit(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -115,3 +115,6 @@ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20
 """
+
+#: The graphical model has no SQL form.
+MAIN_TEXT = None
