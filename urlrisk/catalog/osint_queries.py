@@ -130,7 +130,7 @@ def _ip_fan_out(spark, folder):
     checks = (view(spark, folder, "v_rep")
               .groupBy(F.concat(F.lit("10.0."), (F.col("event_id") % 200).cast("string"), F.lit(".1")).alias("ip"), "source")
               .agg(F.bool_or("isMalicious").alias("bad")))
-    return E.ip_checks(view(spark, folder, "v_dns"), checks).select("domain", "ipNo", "ip", "source", "bad")
+    return E.ip_checks(view(spark, folder, "v_dns"), checks, 5).select("domain", "ipNo", "ip", "source", "bad")
 
 
 REP = """
@@ -274,7 +274,7 @@ def dns_cache(spark, folder):
   FROM feats2 f LEFT JOIN dns d ON f.domain = d.domain""", "v_url", "v_dns"))
 def _features_with_dns(spark, folder):
     feats = urls.url_features(_sites(spark, folder)).select("page_id", "domain", "urlLength")
-    joined = E.salted_left_join(feats, dns_cache(spark, folder), "domain", "page_id")
+    joined = feats.join(dns_cache(spark, folder), "domain", "left")
     false = F.lit(False)
     return joined.select("page_id", "urlLength", F.coalesce("hasValidDns", false).alias("hasValidDns"),
                          F.coalesce("hasValidMx", false).alias("hasValidMx"), F.coalesce("usesCdn", false).alias("usesCdn"),

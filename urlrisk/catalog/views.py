@@ -16,9 +16,11 @@ AS_OF = "2024-02-01"
 
 VIEWS: dict[str, str] = {}
 
-# URLs: one per page, with the features the rules look for planted by page_id.
+# URLs: every page's own, and for every page another one with the features the rules look for, planted by page_id.
 VIEWS["v_url"] = """
-  SELECT page_id,
+  SELECT page_id, url FROM pages
+  UNION ALL
+  SELECT 1000000000000 + page_id AS page_id,
     CASE page_id % 12
       WHEN 1 THEN scheme || regexp_replace(host, '[.][a-z]+$', '.tk') || rest
       WHEN 2 THEN scheme || 'user:pw@' || host || rest
@@ -48,12 +50,8 @@ VIEWS["v_url"] = """
 """
 
 
-# Tables with texts or URLs, whose rows are costly.
-_COSTLY = ("documents", "conversations", "pages")
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet", spread=name in _COSTLY)
+    return read_table(spark, f"{folder}/{name}.parquet")
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -97,23 +95,23 @@ def with_views(sql: str, *names: str) -> str:
 # Pages with two web links appended: the given pages hold relative links only.
 VIEWS["v_html"] = """
   SELECT p.page_id, p.html || '<a href="' || u.url || '">go</a> see ' || p.url || ' (and) http://10.0.0.7/a?b=c.' AS html
-  FROM pages p JOIN v_url u ON p.page_id = u.page_id
+  FROM pages p JOIN v_url u ON p.page_id + 1000000000000 = u.page_id
 """
 
-# Messages: every document and every conversation turn, whole, with planted sentences.
+# Messages: every document and every conversation turn, whole, with planted sentences; and short ones beside each document.
 VIEWS["v_msg"] = """
   SELECT 'd' || CAST(doc_id AS STRING) AS msg_id,
     CASE doc_id % 13
-      WHEN 1 THEN text || ' Act now, your account suspended. URGENT! Visit http://d' || CAST(doc_id % 50 AS STRING) || '.com/now'
-      WHEN 2 THEN 'From: a@d' || CAST(doc_id % 50 AS STRING) || '.com' || chr(10) || 'Subject: security alert' || chr(10) || text
-      WHEN 3 THEN 'http://secure-paypal.d' || CAST(doc_id % 50 AS STRING) || '.tk/login?x=' || CAST(doc_id AS STRING)
-      WHEN 4 THEN 'd' || CAST(doc_id % 50 AS STRING) || '.com/account/update/card'
-      WHEN 5 THEN text || ' Visit http://10.1.2.3/verify and http://login.bank.tk/a now. mail me@d' || CAST(doc_id % 50 AS STRING) || '.com'
-      WHEN 6 THEN 'Mail b@d' || CAST(doc_id % 50 AS STRING) || '.com: please re-enter your password at PayPal. Send payment required, wire transfer funds. ' || text
-      WHEN 7 THEN '   '
+      WHEN 1 THEN text || ' Act now, your account suspended. URGENT! Visit http://d' || CAST(doc_id AS STRING) || '.com/now'
+      WHEN 2 THEN 'From: a@d' || CAST(doc_id AS STRING) || '.com' || chr(10) || 'Subject: security alert' || chr(10) || text
+      WHEN 3 THEN text || ' http://secure-paypal.d' || CAST(doc_id AS STRING) || '.tk/login?x=' || CAST(doc_id AS STRING)
+      WHEN 4 THEN 'd' || CAST(doc_id AS STRING) || '.com/account/update/card ' || text
+      WHEN 5 THEN text || ' Visit http://10.1.2.3/verify and http://login.bank.tk/a now. mail me@d' || CAST(doc_id AS STRING) || '.com'
+      WHEN 6 THEN 'Mail b@d' || CAST(doc_id AS STRING) || '.com: please re-enter your password at PayPal. Send payment required, wire transfer funds. ' || text
+      WHEN 7 THEN '   ' || text || '   '
       WHEN 8 THEN text || ' see attached invoice.exe or open the attachment report.docm'
       WHEN 9 THEN 'Subject: hi' || chr(10) || 'to: x' || chr(10) || text || ' click here, limited time sensitive'
-      WHEN 10 THEN text || ' IT support: customer service help desk. Act now or lose, congratulations you deserve it. award-winning, trusted by most popular Google.com urgent@x.com hurry.net Click http://www.d' || CAST(doc_id % 50 AS STRING) || '.com'
+      WHEN 10 THEN text || ' IT support: customer service help desk. Act now or lose, congratulations you deserve it. award-winning, trusted by most popular Google.com urgent@x.com hurry.net Click http://www.d' || CAST(doc_id AS STRING) || '.com'
       WHEN 11 THEN text
       WHEN 12 THEN text || ' http://[bad/link here'
       ELSE text END AS content,
@@ -121,9 +119,19 @@ VIEWS["v_msg"] = """
   FROM documents
   UNION ALL
   SELECT 'c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS msg_id,
-    CASE WHEN role = 'user' THEN text || ' enter your PIN. confirm your SSN!' ELSE 'https://www.d' || CAST(conv_id % 50 AS STRING) || '.com/a' END AS content,
+    CASE WHEN role = 'user' THEN text || ' enter your PIN. confirm your SSN!' ELSE text || ' https://www.d' || CAST(conv_id AS STRING) || '.com/a' END AS content,
     'auto' AS content_type
   FROM conversations
+  UNION ALL
+  SELECT 'x' || CAST(doc_id AS STRING) AS msg_id,
+    CASE doc_id % 13
+      WHEN 3 THEN 'http://secure-paypal.d' || CAST(doc_id AS STRING) || '.tk/login?x=' || CAST(doc_id AS STRING)
+      WHEN 4 THEN 'd' || CAST(doc_id AS STRING) || '.com/account/update/card'
+      WHEN 5 THEN 'https://www.d' || CAST(doc_id AS STRING) || '.com/a'
+      WHEN 7 THEN '   '
+      ELSE 'Subject: ' || lang END AS content,
+    CASE doc_id % 13 WHEN 11 THEN 'sms' ELSE 'auto' END AS content_type
+  FROM documents
 """
 
 # WHOIS rows: one per planted domain, dates in every accepted format and one bad one.
@@ -149,12 +157,12 @@ VIEWS["v_whois"] = """
           CAST(CASE WHEN u % 9 = 8 THEN 2024 ELSE 2010 + u % 14 END AS STRING) AS y,
           lpad(CAST(CASE WHEN u % 9 = 8 THEN 1 ELSE 1 + u % 12 END AS STRING), 2, '0') AS m,
           lpad(CAST(1 + (u * 7) % 28 AS STRING), 2, '0') AS d
-        FROM (SELECT user_id % 50 AS u FROM events GROUP BY user_id % 50) g) w
+        FROM (SELECT user_id AS u FROM events GROUP BY user_id) g) w
 """
 
 # DNS lookups: one row per event.
 VIEWS["v_dns"] = """
-  SELECT event_id AS seq, ts AS observed_at, 'd' || CAST(user_id % 50 AS STRING) || '.com' AS domain,
+  SELECT event_id AS seq, ts AS observed_at, 'd' || CAST(user_id AS STRING) || '.com' AS domain,
     CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'NS' WHEN 'signup' THEN 'TXT'
       WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'MX' WHEN event_id % 3 = 1 THEN 'AAAA' ELSE 'CNAME' END
       ELSE 'A' END AS rtype,
@@ -174,7 +182,7 @@ VIEWS["v_dns"] = """
 
 # Reputation checks: one per event.
 VIEWS["v_rep"] = """
-  SELECT event_id, 'd' || CAST(user_id % 50 AS STRING) || '.com' AS domain,
+  SELECT event_id, 'd' || CAST(user_id AS STRING) || '.com' AS domain,
     CASE user_id % 3 WHEN 0 THEN 'virustotal' WHEN 1 THEN 'abuseipdb' ELSE 'internal' END AS source,
     event_type = 'error' AND user_id % 50 < 40 AS isMalicious,
     CASE WHEN value > 150 THEN 1.0 ELSE value / 150 END AS confidence,

@@ -10,98 +10,118 @@ that runs again gives the same result.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import new_folder
 
-def _sort(names: Sequence[str], descending: bool) -> list[Column]:
-    return [F.col(n).desc() if descending else F.col(n).asc() for n in names]
+
+def _directions(levels: Sequence[str], descending: bool | Sequence[bool]) -> list[bool]:
+    return [descending] * len(levels) if isinstance(descending, bool) else list(descending)
+
+
+def _sort(name: str, descending: bool) -> Column:
+    return F.col(name).desc() if descending else F.col(name).asc()
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, where null equals null: no row without a time, label or score is lost."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(other, reduce(lambda a, b: a & b, same)).drop(*[f"_r_{k}" for k in keys])
 
 
 def bucket_offsets(df: DataFrame, levels: Sequence[str], values: dict[str, Column], within: Sequence[str] = (),
-                   descending: bool = False) -> DataFrame:
+                   descending: bool | Sequence[bool] = False) -> DataFrame:
     """Per bucket, the sums over all earlier buckets of the same group.
 
-    ``levels`` go from coarse to fine; ``within`` are grouping columns.  Result:
-    ``within``, ``levels`` and one ``before_<value>`` column per value.
+    ``levels`` go from coarse to fine, each in its own direction; ``within`` are
+    grouping columns.  Result: ``within``, ``levels`` and one ``before_<value>``
+    column per value.  Null is a bucket of its own, where it sorts.
     """
     out = df.groupBy(*within, *levels).agg(*[F.sum(v).alias(f"_n_{k}") for k, v in values.items()])
     names = list(values)
     before = {k: F.lit(0) for k in names}
     fine = out
-    for depth in range(len(levels)):
+    for depth, down in enumerate(_directions(levels, descending)):
         keys = [*within, *levels[:depth + 1]]
         totals = fine.groupBy(*keys).agg(*[F.sum(f"_n_{k}").alias(f"_t_{k}") for k in names])
         # Coarse totals are few; finer ones are ordered inside their coarse bucket.
-        w = (Window.partitionBy(*within, *levels[:depth]).orderBy(*_sort([levels[depth]], descending))
+        w = (Window.partitionBy(*within, *levels[:depth]).orderBy(_sort(levels[depth], down))
              .rowsBetween(Window.unboundedPreceding, -1))
         sums = totals.select(*keys, *[F.coalesce(F.sum(f"_t_{k}").over(w), F.lit(0)).alias(f"_b{depth}_{k}")
                                       for k in names])
-        out = out.join(sums, keys)
+        out = null_safe_join(out, sums, keys)
         before = {k: before[k] + F.col(f"_b{depth}_{k}") for k in names}
     return out.select(*within, *levels, *[before[k].alias(f"before_{k}") for k in names])
 
 
 def row_numbers(df: DataFrame, levels: Sequence[str], order: Sequence[Column], name: str, within: Sequence[str] = (),
-                descending: bool = False) -> DataFrame:
-    """Number all rows (from 1) in the order of ``levels``, then ``order``."""
+                descending: bool | Sequence[bool] = False) -> DataFrame:
+    """Number all rows (from 1) in the order of ``levels``, then ``order``; as many rows out as in."""
     keys = [*within, *levels]
     offsets = bucket_offsets(df, levels, {"rows": F.lit(1)}, within, descending)
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return (df.withColumn("_inside", inside).join(offsets, keys)
+    return (null_safe_join(df.withColumn("_inside", inside), offsets, keys)
             .withColumn(name, F.col("before_rows") + F.col("_inside")).drop("_inside", "before_rows"))
 
 
 def running_sums(df: DataFrame, levels: Sequence[str], key: str, values: Sequence[str], descending: bool = False) -> DataFrame:
     """Running sums ``cum_<value>`` over a table with one row per ``key``, in key order."""
     offsets = bucket_offsets(df, levels, {v: F.col(v) for v in values}, (), descending)
-    w = (Window.partitionBy(*levels).orderBy(*_sort([key], descending)).rowsBetween(Window.unboundedPreceding, 0))
-    out = df.withColumns({f"_in_{v}": F.sum(v).over(w) for v in values}).join(offsets, list(levels))
+    w = (Window.partitionBy(*levels).orderBy(_sort(key, descending)).rowsBetween(Window.unboundedPreceding, 0))
+    out = null_safe_join(df.withColumns({f"_in_{v}": F.sum(v).over(w) for v in values}), offsets, levels)
     return (out.withColumns({f"cum_{v}": F.col(f"before_{v}") + F.col(f"_in_{v}") for v in values})
             .drop(*[f"_in_{v}" for v in values], *[f"before_{v}" for v in values]))
 
 
-def hash_zones(df: DataFrame, group: str, key: str, cuts: DataFrame, name: str = "zone", digits: int = 3) -> DataFrame:
+def cut_keys(df: DataFrame, group: str, key: str, cuts: DataFrame, digits: int = 3) -> list[tuple[object, int, str]]:
+    """The hash key at each rank of ``cuts``, per group: (group, rank, key).
+
+    One histogram of leading digits finds the bucket of a rank, one of further
+    digits refines that bucket only, and what is left, about one row in sixteen
+    million, is ordered.  A few rows per group come back.
+    """
+    first, second = F.substring(key, 1, digits).alias("_d0"), F.substring(key, 1 + digits, digits).alias("_d1")
+    wanted = cuts.select(F.col(group), F.explode("cuts").alias("_rank")).distinct().withColumn("_left", F.col("_rank"))
+
+    def bucket_of(counts: DataFrame, above: list[str], level: str, wanted: DataFrame) -> DataFrame:
+        """The bucket that holds each wanted rank, and the rank inside it."""
+        w = Window.partitionBy(group, *above).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(w), F.lit(0)))
+        hit = null_safe_join(placed, wanted, [group, *above])
+        return (hit.where((F.col("_before") < F.col("_left")) & (F.col("_left") <= F.col("_before") + F.col("_rows")))
+                .select(group, *above, level, "_rank", (F.col("_left") - F.col("_before")).alias("_left")))
+
+    coarse = bucket_of(df.groupBy(group, first).agg(F.count("*").alias("_rows")), [], "_d0", wanted)
+    inside = null_safe_join(df.select(group, F.col(key).alias("_key"), first, second), coarse.select(group, "_d0").distinct(), [group, "_d0"])
+    fine = bucket_of(inside.groupBy(group, "_d0", "_d1").agg(F.count("*").alias("_rows")), ["_d0"], "_d1", coarse)
+    last = null_safe_join(inside, fine.select(group, "_d0", "_d1").distinct(), [group, "_d0", "_d1"])
+    order = Window.partitionBy(group, "_d0", "_d1").orderBy("_key")
+    ranked = null_safe_join(last.withColumn("_no", F.row_number().over(order)), fine, [group, "_d0", "_d1"])
+    return [(r[group], r["_rank"], r["_key"]) for r in ranked.where("_no = _left").select(group, "_rank", "_key").collect()]
+
+
+def hash_zones(df: DataFrame, group: str, key: str, cuts: DataFrame, name: str = "zone", digits: int = 3, most_groups: int = 1000) -> DataFrame:
     """Cut each group at exact ranks of a hash key: ``name`` is how many cuts lie before the row.
 
     ``key`` is a hexadecimal hash that is unique in its group; ``cuts`` has
-    ``group`` and ``cuts`` (array of ranks, a few per group).  Almost all rows are
-    settled by the counts of their leading digits, without a shuffle; only the
-    buckets that hold a cut are refined by further digits, and only what is left
-    there, about one row in sixteen million, is ordered.
+    ``group`` (class labels, ``most_groups`` at most; null is a class) and ``cuts``
+    (array of ranks, a few per group).  The rows are stored once; then the keys at
+    the cuts are looked up and rows compare their own key with them, without a join.
     """
-    def with_bucket(rows: DataFrame, depth: int) -> DataFrame:
-        return rows.withColumn(f"_d{depth}", F.substring(key, 1 + digits * depth, digits))
-
-    def settle(rows: DataFrame, levels: list[str], start: DataFrame | None) -> DataFrame:
-        """Bucket table: rank before it, rows in it, zone, and whether a cut lies inside."""
-        counts = rows.groupBy(group, *levels).agg(F.count("*").alias("_rows"))
-        w = Window.partitionBy(group, *levels[:-1]).orderBy(levels[-1]).rowsBetween(Window.unboundedPreceding, -1)
-        ranked = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(w), F.lit(0)))
-        if start is not None:
-            ranked = (ranked.join(F.broadcast(start), [group, *levels[:-1]])
-                      .withColumn("_before", F.col("_before") + F.col("_start")).drop("_start"))
-        inside = lambda c: (c > F.col("_before")) & (c < F.col("_before") + F.col("_rows"))
-        return (ranked.join(F.broadcast(cuts), group)
-                .withColumns({"_zone": F.size(F.filter("cuts", lambda c: c <= F.col("_before"))),
-                              "_open": F.exists("cuts", inside)})
-                .drop("cuts", "_rows"))
-
-    columns = df.columns
-    first = with_bucket(df, 0)
-    table = settle(first, ["_d0"], None)
-    # At most 16**digits buckets per group, a few groups: small enough to broadcast by construction.
-    marked = first.join(F.broadcast(table), [group, "_d0"])
-    done = marked.where(~F.col("_open")).select(*columns, F.col("_zone").alias(name))
-
-    open_starts = table.where("_open").select(group, "_d0", F.col("_before").alias("_start"))
-    second = with_bucket(first.join(F.broadcast(open_starts.drop("_start")), [group, "_d0"], "left_semi"), 1)
-    finer = settle(second, ["_d0", "_d1"], open_starts)
-    marked = second.join(F.broadcast(finer), [group, "_d0", "_d1"])
-    done = done.unionByName(marked.where(~F.col("_open")).select(*columns, F.col("_zone").alias(name)))
-
-    w = Window.partitionBy(group, "_d0", "_d1").orderBy(key)
-    last = (marked.where("_open").withColumn("_rank", F.col("_before") + F.row_number().over(w))
-            .join(F.broadcast(cuts), group)
-            .withColumn(name, F.size(F.filter("cuts", lambda c: c < F.col("_rank")))))
-    return done.unionByName(last.select(*columns, name))
+    path = new_folder(df.sparkSession, "zones")
+    df.write.parquet(path)
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
+    ranks = cuts.limit(most_groups + 1).collect()
+    if len(ranks) > most_groups:
+        raise ValueError(f"more than {most_groups} groups in {group}")
+    at = {(g, rank): found for g, rank, found in cut_keys(df, group, key, cuts, digits)}
+    zone = F.lit(0)
+    for row in ranks:
+        # A cut at 0 lies before all rows, one behind the last row before none.
+        keys = [at.get((row[group], rank), "" if rank <= 0 else "\uffff") for rank in row["cuts"]]
+        passed = reduce(lambda a, b: a + b, [(F.col(key) > k).cast("int") for k in keys])
+        zone = F.when(F.col(group).eqNullSafe(F.lit(row[group])), passed).otherwise(zone)
+    return df.withColumn(name, zone)

@@ -132,8 +132,8 @@ def dns_record_count(count_cname: bool = False) -> Column:
     return sum((F.col(f"n{t}") for t in types[1:]), F.col(f"n{types[0]}"))
 
 
-def first_addresses(records: DataFrame, limit: int = 5) -> DataFrame:
-    """The first addresses of each domain, IPv4 before IPv6, ``limit`` at most.
+def first_addresses(records: DataFrame, limit: int | None = None) -> DataFrame:
+    """The first addresses of each domain, IPv4 before IPv6, ``limit`` at most where given.
 
     Needs ``seq``, the position of a record in its lookup.  Spark cuts each
     group on the map side (window group limit), so hot domains shuffle little.
@@ -142,11 +142,11 @@ def first_addresses(records: DataFrame, limit: int = 5) -> DataFrame:
         F.when(F.col("rtype") == "A", 0).otherwise(1), "seq", "value")
     return (records.where(F.col("rtype").isin("A", "AAAA") & F.col("value").isNotNull())
             .select("domain", "rtype", "seq", "value")
-            .withColumn("ipNo", F.row_number().over(order)).where(F.col("ipNo") <= limit)
+            .withColumn("ipNo", F.row_number().over(order)).where(F.lit(True) if limit is None else F.col("ipNo") <= limit)
             .select("domain", "ipNo", F.col("value").alias("ip")))
 
 
-def ip_checks(records: DataFrame, checks: DataFrame, limit: int = 5) -> DataFrame:
+def ip_checks(records: DataFrame, checks: DataFrame, limit: int | None = None) -> DataFrame:
     """Reputation checks of the first addresses: (domain, ip) with the sources that check addresses."""
     usable = checks.where(F.col("source").isin(*rules.IP_SOURCES))
     return first_addresses(records, limit).join(usable, "ip", "inner")
@@ -231,39 +231,22 @@ def cache_misses(domains: DataFrame, cache: DataFrame, key: str = "domain") -> D
     return domains.join(cache.select(F.lower(key).alias("_cached")), F.lower(F.col(key)) == F.col("_cached"), "left_anti")
 
 
-def spread_left_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, slices: int = 64) -> DataFrame:
+def spread_left_join(left: DataFrame, right: DataFrame, key: str, spread_by: str) -> DataFrame:
     """Left join on a key that may be missing on most left rows.
 
     Rows without a key can match nothing, but would all meet in one shuffle
-    partition; they are spread over ``slices`` by another column.  Rows with a
+    partition; they are spread by another column, over eight times as many stand-ins
+    as there are shuffle partitions.  Rows with a
     hot key are split by adaptive execution (skew join), which works here since
     ``right`` has one row per key and this is the only join of the big side.
     """
-    # A stand-in for the missing key that no key equals; one per slice.
+    # A stand-in for the missing key that no key equals.
+    slices = 8 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filler = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(spread_by), F.lit(slices)).cast("string"))
     return (left.withColumn("_join_key", F.coalesce(F.col(key), filler))
             .join(right.withColumnRenamed(key, "_join_key"), "_join_key", "left").drop("_join_key"))
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, hot_rows: int = 1_000_000,
-                     salts: int = 64) -> DataFrame:
-    """Left join with explicit salting of hot keys, for plans where the skew join cannot act.
-
-    A key with more than ``hot_rows`` left rows is hot, so there are at most
-    ``rows / hot_rows`` hot keys.  Only they are salted and only their right rows
-    are copied.  The hot list is an exact count, so both sides agree on it.
-    """
-    hot = (left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > hot_rows)
-           .select(F.col(key).alias("_hot_key")))
-    marked_left = left.join(hot, F.col(key) == F.col("_hot_key"), "left").withColumn(
-        "_salt", F.when(F.col(key).isNull() | F.col("_hot_key").isNotNull(),
-                        F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(0).cast("int")).drop("_hot_key")
-    copies = F.when(F.col("_hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    marked_right = (right.join(hot, F.col(key) == F.col("_hot_key"), "left")
-                    .withColumn("_salt", F.explode(copies)).drop("_hot_key"))
-    return marked_left.join(marked_right, [key, "_salt"], "left").drop("_salt")
-
-
 def osint_bundle(whois: DataFrame, dns: DataFrame, reputation: DataFrame) -> DataFrame:
     """One row per domain with the sides whose status is success.
 
@@ -293,8 +276,11 @@ def as_of_join(events: DataFrame, snapshots: DataFrame, key: str = "domain", eve
 
     Time buckets split hot keys: each (key, bucket) is ordered on its own, and
     what held at the start of a bucket comes from a running maximum over one row
-    per (key, bucket).  No event meets more than one candidate row.
+    per (key, bucket).  No event meets more than one candidate row.  Events without a
+    key can have no snapshot; they are set aside, so that they don't meet in one task.
     """
+    keyless = events.where(F.col(key).isNull())
+    events, snapshots = events.where(F.col(key).isNotNull()), snapshots.where(F.col(key).isNotNull())
     values = [c for c in snapshots.columns if c not in (key,)]
     s = snapshots.select(F.col(key).alias("_k"), F.col(seen_at).alias("_t"), F.struct(*values).alias("_v"))
     s = s.withColumn("_b", F.date_trunc(bucket, "_t"))
@@ -315,7 +301,8 @@ def as_of_join(events: DataFrame, snapshots: DataFrame, key: str = "domain", eve
     )
     upto = Window.partitionBy("_k", "_b").orderBy("_t", "_kind", "_v").rowsBetween(Window.unboundedPreceding, 0)
     return (rows.withColumn("_now", F.last("_v", ignorenulls=True).over(upto)).where(F.col("_kind") == 2)
-            .select("_e.*", "_now.*"))
+            .select("_e.*", "_now.*")
+            .unionByName(keyless, allowMissingColumns=True))
 
 
 # ------------------------------------------------------------------- features

@@ -36,12 +36,12 @@ def ranked_entries(ranked: DataFrame) -> DataFrame:
         F.lit(0).alias("label"), "rank", F.lit("").alias("category"))
 
 
-def filter_ranked(ranked: DataFrame, n: int = 15_000) -> DataFrame:
-    """The best ranked domains that are sites: not short, not numeric, not infrastructure."""
+def filter_ranked(ranked: DataFrame, n: int | None = None) -> DataFrame:
+    """Ranked domains that are sites: not short, not numeric, not infrastructure; the best ``n`` where given."""
     infrastructure = F.col("domain").rlike(f"(?:{quote_all(rules.INFRASTRUCTURE_SUFFIXES)})$")
     numeric = F.replace("domain", F.lit("."), F.lit("")).rlike(r"^\p{Nd}+$")
-    return (ranked.where((F.length("domain") >= 4) & ~numeric & ~infrastructure)
-            .orderBy("rank", "domain").limit(n))
+    sites = ranked.where((F.length("domain") >= 4) & ~numeric & ~infrastructure)
+    return sites if n is None else sites.orderBy("rank", "domain").limit(n)
 
 
 def union_by_priority(feeds: Sequence[DataFrame]) -> DataFrame:

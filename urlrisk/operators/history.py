@@ -31,9 +31,10 @@ def append(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").partitionBy("date").parquet(path)
 
 
-def list_newest(history: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of the newest rows."""
-    return history.orderBy(F.col("analyzedAt").desc(), F.col("id")).offset(offset).limit(limit)
+def list_newest(history: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Rows from the newest on; a page of them where ``limit`` is given."""
+    rows = history.orderBy(F.col("analyzedAt").desc(), F.col("id")).offset(offset)
+    return rows if limit is None else rows.limit(limit)
 
 
 def total(history: DataFrame) -> DataFrame:
@@ -60,16 +61,18 @@ def delete_rewriting(spark: SparkSession, path: str, out: str, entry: str) -> bo
     return True
 
 
-def keep_newest(history: DataFrame, n: int = 100) -> DataFrame:
-    """The n newest rows."""
-    return history.orderBy(F.col("analyzedAt").desc(), F.col("id")).limit(n)
+def keep_newest(history: DataFrame, n: int | None = None) -> DataFrame:
+    """The n newest rows; all where n isn't given."""
+    return history if n is None else history.orderBy(F.col("analyzedAt").desc(), F.col("id")).limit(n)
 
 
 def unexpired(history: DataFrame, days: int, as_of: str) -> DataFrame:
-    """Rows not older than the given days; 0 keeps all."""
+    """Rows not older than the given days; 0 keeps all.  A table by date reads the dates it needs only."""
     if days == 0:
         return history
-    return history.where(F.col("analyzedAt") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS"))
+    bound = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")
+    kept = history.where(F.col("analyzedAt") >= bound)
+    return kept.where(F.col("date") >= F.to_date(bound)) if "date" in history.columns else kept
 
 
 def prune(history: DataFrame, days: int, n: int, as_of: str) -> DataFrame:
@@ -103,6 +106,14 @@ def display_text(content: Column) -> Column:
 
 def number_newest_first(history: DataFrame) -> DataFrame:
     """Add ``rowNo``: 1 for the newest row."""
-    timed = history.withColumns({"_day": F.to_date("analyzedAt"), "_minute": F.date_trunc("minute", "analyzedAt")})
-    return row_numbers(timed, ["_day", "_minute"], [F.col("analyzedAt").desc(), F.col("id")], "rowNo",
-                       descending=True).drop("_day", "_minute")
+    return numbered_by_time(history, "rowNo")
+
+
+def numbered_by_time(history: DataFrame, name: str) -> DataFrame:
+    """Number rows from the newest on.
+
+    Buckets are the day, the minute, the instant and the first digits of the id,
+    so that a batch of one instant isn't one bucket.  Rows without a time come last.
+    """
+    levels = {"_day": F.to_date("analyzedAt"), "_minute": F.date_trunc("minute", "analyzedAt"), "_at": F.col("analyzedAt"), "_id": F.substring("id", 1, 3)}
+    return row_numbers(history.withColumns(levels), list(levels), [F.col("id")], name, descending=[True, True, True, False]).drop(*levels)

@@ -132,12 +132,13 @@ def phrase_hits(df: DataFrame, text: str, *keys: str, lexicons: Sequence[rules.L
     long = computed_once(long, "_pieces")
     # A phrase spans at most as many pieces as it has words.
     words = max(len(re.split(r"\W+", p)) for x in lexicons for p in x.phrases)
-    items = F.transform("_pieces", lambda p, i: F.struct(
-        i.alias("no"), F.length(p).alias("width"),
-        F.when(i > 0, F.array_join(F.slice("_pieces", i + 1, F.lit(words)), "")).alias("ahead")))
-    starts = F.sum("width").over(Window.partitionBy(*keys).orderBy("no").rowsBetween(Window.unboundedPreceding, -1))
-    located = (long.select(*keys, F.explode(items).alias("_i")).select(*keys, "_i.no", "_i.width", "_i.ahead")
-               .withColumn("position", (starts - 1).cast("int")).where(F.col("no") > 0))
+    longest = max(len(p) for x in lexicons for p in x.phrases) + 1
+    # Place and text of each hit come from its own row: no shuffle, and no more of the text than a phrase needs.
+    long = computed_once(long.withColumn("_widths", F.transform("_pieces", F.length)), "_pieces", "_widths")
+    place = lambda i: F.aggregate(F.slice("_widths", 1, i), F.lit(-1), lambda n, w: n + w)
+    items = F.transform("_pieces", lambda p, i: F.when(i > 0, F.struct(
+        place(i).alias("position"), F.left(F.array_join(F.slice("_pieces", i + 1, F.lit(words)), ""), F.lit(longest)).alias("ahead"))))
+    located = long.select(*keys, F.explode(F.slice(items, 2, F.size("_pieces"))).alias("_i")).select(*keys, "_i.position", "_i.ahead")
     branches = []
     for order, x in enumerate(lexicons):
         one = "" if x.case_sensitive else "(?i)"

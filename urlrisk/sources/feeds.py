@@ -125,11 +125,11 @@ def read_ranked_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_labelled(spark: SparkSession, malicious: str, legitimate: str, limit: int = 0) -> DataFrame:
-    """Labelled corpus of two feed files; ``limit`` rows at most where given (0: all)."""
+    """Labelled corpus of two feed files; the first ``limit`` by URL where given (0: all)."""
     one = lambda path, names, label: _csv(spark, path, ", ".join(f"{n} string" for n in names), header=True).select(
         "url", "domain", F.lit(label).alias("label"))
     both = one(malicious, MALICIOUS_COLUMNS, 1).unionByName(one(legitimate, LEGITIMATE_COLUMNS, 0))
-    return both.limit(limit) if limit else both
+    return both.orderBy("url", "label").limit(limit) if limit else both
 
 
 def read_features(spark: SparkSession, path: str, names=rules.ALL_FEATURES) -> DataFrame:
@@ -142,9 +142,9 @@ def read_features(spark: SparkSession, path: str, names=rules.ALL_FEATURES) -> D
 
 
 def read_url_list(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """One URL per line, trimmed, blanks dropped; ``limit`` only where given."""
+    """One URL per line, trimmed, blanks dropped; the first ``limit`` in order where given."""
     df = spark.read.text(path).select(strip(F.col("value")).alias("url")).where(F.col("url") != "")
-    return df if limit is None else df.limit(limit)
+    return df if limit is None else df.orderBy("url").limit(limit)
 
 
 CACHE_SCHEMA = "domain string, hasValidDns boolean, hasValidMx boolean, usesCdn boolean, dnsRecordCount int, observed_at timestamp"

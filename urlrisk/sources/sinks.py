@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ordering import row_numbers
+from ..operators.history import numbered_by_time
 from ..operators.feeds import LEGITIMATE_COLUMNS, MALICIOUS_COLUMNS
 
 
@@ -45,9 +45,7 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def history_export(df: DataFrame) -> DataFrame:
     """History rows for CSV, newest first, numbered from 1."""
-    timed = df.withColumns({"_day": F.to_date("analyzedAt"), "_minute": F.date_trunc("minute", "analyzedAt")})
-    numbered = row_numbers(timed, ["_day", "_minute"], [F.col("analyzedAt").desc(), F.col("id")], "#", descending=True)
-    return numbered.select(
+    return numbered_by_time(df, "#").select(
         "#", F.concat(F.lit('"'), F.replace("content", F.lit('"'), F.lit('""')), F.lit('"')).alias("Content"),
         F.col("contentType").alias("Type"), F.col("threatLevel").alias("Threat Level"),
         F.format_string("%.1f", F.col("score") * 100).alias("Score"), F.col("analyzedAt").alias("Date"))

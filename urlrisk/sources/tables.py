@@ -5,15 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """Read a Parquet table.
-
-    ``spread`` is for tables whose rows are costly to process: a table of fewer
-    splits than the cluster has cores (a single row group, say) is dealt out over
-    the cores.  A large table has more splits than cores and is left alone.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Read a Parquet table."""
+    return spark.read.parquet(path)
