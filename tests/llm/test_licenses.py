@@ -71,3 +71,37 @@ def test_plan_is_native(spark):
 
 def test_no_rows(spark, tmp_path):
     assert op10(spark, folder(spark, tmp_path, [])).select(F.count("*")).first()[0] == 0
+
+
+def samples(pattern):
+    """Texts of a rule: every alternative of every group once, with optional parts and without."""
+    from re import _parser as P
+
+    def of(parsed):
+        outs = [""]
+        for op, value in parsed:
+            if op is P.LITERAL:
+                parts = [chr(value)]
+            elif op is P.IN:
+                parts = [chr(v) for o, v in value if o is P.LITERAL] if value[0][0] is not P.NEGATE else ["k"]
+            elif op is P.NOT_LITERAL:
+                parts = ["k"]
+            elif op is P.SUBPATTERN:
+                parts = of(value[3])
+            elif op is P.BRANCH:
+                parts = [t for branch in value[1] for t in of(branch)]
+            else:  # a repeat
+                parts = ([""] if value[0] == 0 else []) + of(value[2])
+            outs = [a + b for a in outs[:40] for b in dict.fromkeys(parts)][:4000]
+        return outs
+    return of(P.parse(pattern))
+
+
+def test_gate_and_keywords_let_every_rule_through():
+    gate = re.compile(L.GATE_WORDS)
+    for _, label, keywords, _, pattern in L.rules():
+        for text in samples(pattern):
+            assert re.fullmatch(pattern, text), (label, text)
+            assert any(k in text for k in keywords.split("|")), (label, text)
+            plain_text = re.sub(" +", " ", text)
+            assert any(g in plain_text for g in L.GATES) or gate.search(plain_text), (label, text)

@@ -20,83 +20,83 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.staging import computed_once
 
-# Base phrases, licenses (label, keyword, identifier, name), forms (certainty, expression).
+# Base phrases, licenses (label, keywords of which one must occur, identifier, name), forms (certainty, expression).
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 _GPL = "(gnu )?(general public licen[cs]e|gpl)"
 _LGPL = "(gnu )?((lesser|library) general public licen[cs]e|lgpl)"
 _AGPL = "(gnu )?(affero general public licen[cs]e|agpl)"
 LICENSES = (
-    ("mit", "mit", "mit", "mit (expat )?licen[cs]e"),
-    ("mit-0", "mit", "mit 0", "mit no attribution( licen[cs]e)?"),
+    ("mit", " mit ", "mit", "mit (expat )?licen[cs]e"),
+    ("mit-0", " mit ", "mit 0", "mit no attribution( licen[cs]e)?"),
     ("apache-1.0", "apache", "apache 1 0", "apache (software )?licen[cs]e (version 1 0|v1 0|1 0)"),
     ("apache-1.1", "apache", "apache 1 1", "apache (software )?licen[cs]e (version 1 1|v1 1|1 1)"),
     ("apache-2.0", "apache", "apache 2( 0)?", "apache (software )?licen[cs]e (version 2( 0)?|v2( 0)?|2( 0)?)"),
     ("apache", "apache", "apache", "apache (software )?licen[cs]e"),
-    ("gpl-1.0", "g", "gpl 1 0( only| or later)?", _GPL + " (version 1|v1|1 0)( or later)?"),
-    ("gpl-2.0", "g", "gpl 2 0( only| or later)?", "(" + _GPL + " (version 2|v2|2 0|2)|gplv2)( or later| only)?"),
-    ("gpl-3.0", "g", "gpl 3 0( only| or later)?", "(" + _GPL + " (version 3|v3|3 0|3)|gplv3)( or later| only)?"),
-    ("gpl", "g", "gpl", _GPL),
-    ("lgpl-2.0", "l", "lgpl 2 0( only| or later)?", "(" + _LGPL + " (version 2|v2|2 0)|lgplv2)( or later| only)?"),
-    ("lgpl-2.1", "l", "lgpl 2 1( only| or later)?", _LGPL + " (version 2 1|v2 1|2 1)( or later| only)?"),
-    ("lgpl-3.0", "l", "lgpl 3 0( only| or later)?", "(" + _LGPL + " (version 3|v3|3 0)|lgplv3)( or later| only)?"),
-    ("lgpl", "l", "lgpl", _LGPL),
-    ("agpl-3.0", "a", "agpl 3 0( only| or later)?", "(" + _AGPL + " (version 3|v3|3 0)|agplv3)( or later| only)?"),
-    ("agpl", "a", "agpl", _AGPL),
+    ("gpl-1.0", "gpl|general", "gpl 1 0( only| or later)?", _GPL + " (version 1|v1|1 0)( or later)?"),
+    ("gpl-2.0", "gpl|general", "gpl 2 0( only| or later)?", "(" + _GPL + " (version 2|v2|2 0|2)|gplv2)( or later| only)?"),
+    ("gpl-3.0", "gpl|general", "gpl 3 0( only| or later)?", "(" + _GPL + " (version 3|v3|3 0|3)|gplv3)( or later| only)?"),
+    ("gpl", "gpl|general", "gpl", _GPL),
+    ("lgpl-2.0", "lgpl|lesser|library", "lgpl 2 0( only| or later)?", "(" + _LGPL + " (version 2|v2|2 0)|lgplv2)( or later| only)?"),
+    ("lgpl-2.1", "lgpl|lesser|library", "lgpl 2 1( only| or later)?", _LGPL + " (version 2 1|v2 1|2 1)( or later| only)?"),
+    ("lgpl-3.0", "lgpl|lesser|library", "lgpl 3 0( only| or later)?", "(" + _LGPL + " (version 3|v3|3 0)|lgplv3)( or later| only)?"),
+    ("lgpl", "lgpl|lesser|library", "lgpl", _LGPL),
+    ("agpl-3.0", "agpl|affero", "agpl 3 0( only| or later)?", "(" + _AGPL + " (version 3|v3|3 0)|agplv3)( or later| only)?"),
+    ("agpl", "agpl|affero", "agpl", _AGPL),
     ("bsd-2-clause", "bsd", "bsd 2 clause", "((2|two) clause bsd|simplified bsd|freebsd) licen[cs]e"),
     ("bsd-3-clause", "bsd", "bsd 3 clause", "((3|three) clause bsd|(new|revised|modified) bsd) licen[cs]e"),
     ("bsd-4-clause", "bsd", "bsd 4 clause", "((4|four) clause bsd|original bsd) licen[cs]e"),
-    ("0bsd", "0bsd", "0bsd", "zero clause bsd licen[cs]e|0bsd"),
+    ("0bsd", "bsd", "0bsd", "zero clause bsd licen[cs]e|0bsd"),
     ("bsd", "bsd", "bsd", "bsd( style)? licen[cs]e"),
-    ("mpl-1.0", "mpl", "mpl 1 0", "mpl 1 0"),
-    ("mpl-1.1", "m", "mpl 1 1", "mozilla public licen[cs]e (version 1 1|v1 1|1 1)|mpl 1 1"),
-    ("mpl-2.0", "m", "mpl 2 0", "mozilla public licen[cs]e (version 2 0|v2 0|2 0|v 2 0)|mpl 2 0"),
-    ("mpl", "mozilla", "mpl", "mozilla public licen[cs]e"),
-    ("epl-1.0", "e", "epl 1 0", "eclipse public licen[cs]e (version 1 0|v1 0|1 0|v 1 0)|epl 1 0"),
-    ("epl-2.0", "e", "epl 2 0", "eclipse public licen[cs]e (version 2 0|v2 0|2 0|v 2 0)|epl 2 0"),
-    ("eupl-1.1", "e", "eupl 1 1", "european union public licen[cs]e (version 1 1|v1 1|1 1)|eupl 1 1"),
-    ("eupl-1.2", "e", "eupl 1 2", "european union public licen[cs]e (version 1 2|v1 2|1 2)|eupl 1 2"),
-    ("cddl-1.0", "c", "cddl 1 0", "common development and distribution licen[cs]e( version)?( 1 0)?|cddl 1 0"),
-    ("cddl-1.1", "c", "cddl 1 1", "common development and distribution licen[cs]e (version )?1 1|cddl 1 1"),
-    ("cpl-1.0", "c", "cpl 1 0", "common public licen[cs]e( version 1 0| 1 0)?"),
+    ("mpl-1.0", " mpl ", "mpl 1 0", "mpl 1 0"),
+    ("mpl-1.1", " mpl |mozilla", "mpl 1 1", "mozilla public licen[cs]e (version 1 1|v1 1|1 1)|mpl 1 1"),
+    ("mpl-2.0", " mpl |mozilla", "mpl 2 0", "mozilla public licen[cs]e (version 2 0|v2 0|2 0|v 2 0)|mpl 2 0"),
+    ("mpl", " mpl |mozilla", "mpl", "mozilla public licen[cs]e"),
+    ("epl-1.0", " epl |eclipse", "epl 1 0", "eclipse public licen[cs]e (version 1 0|v1 0|1 0|v 1 0)|epl 1 0"),
+    ("epl-2.0", " epl |eclipse", "epl 2 0", "eclipse public licen[cs]e (version 2 0|v2 0|2 0|v 2 0)|epl 2 0"),
+    ("eupl-1.1", "eupl|european", "eupl 1 1", "european union public licen[cs]e (version 1 1|v1 1|1 1)|eupl 1 1"),
+    ("eupl-1.2", "eupl|european", "eupl 1 2", "european union public licen[cs]e (version 1 2|v1 2|1 2)|eupl 1 2"),
+    ("cddl-1.0", "cddl|distribution", "cddl 1 0", "common development and distribution licen[cs]e( version)?( 1 0)?|cddl 1 0"),
+    ("cddl-1.1", "cddl|distribution", "cddl 1 1", "common development and distribution licen[cs]e (version )?1 1|cddl 1 1"),
+    ("cpl-1.0", " cpl | common ", "cpl 1 0", "common public licen[cs]e( version 1 0| 1 0)?"),
     ("cc0-1.0", "cc0", "cc0 1 0", "cc0( 1 0)?( universal)?"),
-    ("isc", "isc", "isc", "isc licen[cs]e"),
+    ("isc", " isc ", "isc", "isc licen[cs]e"),
     ("zlib", "zlib", "zlib", "zlib( libpng)? licen[cs]e"),
     ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "f", "wtfpl", "wtfpl|do what the f[^ ]+ you want to public licen[cs]e"),
+    ("wtfpl", "wtfpl| want ", "wtfpl", "wtfpl|do what the f[^ ]+ you want to public licen[cs]e"),
     ("artistic-1.0", "artistic", "artistic 1 0", "artistic licen[cs]e( version)? 1 0"),
     ("artistic-2.0", "artistic", "artistic 2 0", "artistic licen[cs]e( version)? 2 0"),
     ("artistic", "artistic", "artistic", "artistic licen[cs]e"),
-    ("bsl-1.0", "b", "bsl 1 0", "boost software licen[cs]e( version 1 0| 1 0)?"),
-    ("busl-1.1", "bus", "busl 1 1", "business source licen[cs]e( version)?( 1 1)?"),
-    ("python-2.0", "py", "python 2 0", "python software foundation licen[cs]e( version 2| 2 0)?"),
-    ("psf-2.0", "psf", "psf 2 0", "psf licen[cs]e( agreement)?"),
-    ("ruby", "ruby", "ruby", "ruby licen[cs]e"),
+    ("bsl-1.0", " bsl | boost ", "bsl 1 0", "boost software licen[cs]e( version 1 0| 1 0)?"),
+    ("busl-1.1", "busl|business", "busl 1 1", "business source licen[cs]e( version)?( 1 1)?"),
+    ("python-2.0", "python", "python 2 0", "python software foundation licen[cs]e( version 2| 2 0)?"),
+    ("psf-2.0", " psf ", "psf 2 0", "psf licen[cs]e( agreement)?"),
+    ("ruby", " ruby ", "ruby", "ruby licen[cs]e"),
     ("php-3.01", "php", "php 3 01", "php licen[cs]e( version)?( 3 01)?"),
-    ("ofl-1.1", "o", "ofl 1 1", "sil open font licen[cs]e( version)?( 1 1)?|open font licen[cs]e"),
+    ("ofl-1.1", " ofl | font ", "ofl 1 1", "sil open font licen[cs]e( version)?( 1 1)?|open font licen[cs]e"),
     ("ncsa", "ncsa", "ncsa", "(university of illinois ncsa|ncsa) open source licen[cs]e"),
     ("postgresql", "postgresql", "postgresql", "postgresql licen[cs]e"),
     ("openssl", "openssl", "openssl", "openssl licen[cs]e"),
-    ("ms-pl", "m", "ms pl", "microsoft public licen[cs]e|ms pl"),
-    ("ms-rl", "m", "ms rl", "microsoft reciprocal licen[cs]e|ms rl"),
-    ("osl-3.0", "o", "osl 3 0", "open software licen[cs]e( version)?( 3 0)?"),
-    ("afl-3.0", "a", "afl 3 0", "academic free licen[cs]e( version)?( 3 0)?"),
-    ("ecl-2.0", "e", "ecl 2 0", "educational community licen[cs]e( version)?( 2 0)?"),
+    ("ms-pl", " ms |microsoft", "ms pl", "microsoft public licen[cs]e|ms pl"),
+    ("ms-rl", " ms |microsoft", "ms rl", "microsoft reciprocal licen[cs]e|ms rl"),
+    ("osl-3.0", " osl | software ", "osl 3 0", "open software licen[cs]e( version)?( 3 0)?"),
+    ("afl-3.0", " afl |academic", "afl 3 0", "academic free licen[cs]e( version)?( 3 0)?"),
+    ("ecl-2.0", " ecl |educational", "ecl 2 0", "educational community licen[cs]e( version)?( 2 0)?"),
     ("cecill-2.1", "cecill", "cecill 2 1", "cecill( free software)?( licen[cs]e)?( agreement)?"),
-    ("vim", "vim", "vim", "vim licen[cs]e"),
-    ("tcl", "tcl", "tcl", "tcl tk licen[cs]e"),
+    ("vim", " vim ", "vim", "vim licen[cs]e"),
+    ("tcl", " tcl ", "tcl", "tcl tk licen[cs]e"),
     ("x11", "x11", "x11", "x11 licen[cs]e"),
     ("libpng", "libpng", "libpng", "libpng licen[cs]e"),
-    ("ijg", "i", "ijg", "independent jpeg group licen[cs]e"),
+    ("ijg", " ijg | jpeg ", "ijg", "independent jpeg group licen[cs]e"),
     ("w3c", "w3c", "w3c", "w3c software( notice and)? licen[cs]e"),
-    ("json", "json", "json", "json licen[cs]e"),
-    ("beerware", "beer", "beerware", "beer ?ware licen[cs]e"),
+    ("json", " json ", "json", "json licen[cs]e"),
+    ("beerware", " beer", "beerware", "beer ?ware licen[cs]e"),
     ("sleepycat", "sleepycat", "sleepycat", "sleepycat licen[cs]e"),
-    ("qpl-1.0", "q", "qpl 1 0", "q public licen[cs]e( version)?( 1 0)?"),
-    ("sspl-1.0", "s", "sspl 1 0", "server side public licen[cs]e( version)?( 1)?"),
+    ("qpl-1.0", " qpl | q ", "qpl 1 0", "q public licen[cs]e( version)?( 1 0)?"),
+    ("sspl-1.0", "sspl| server ", "sspl 1 0", "server side public licen[cs]e( version)?( 1)?"),
     ("elastic-2.0", "elastic", "elastic 2 0", "elastic licen[cs]e( 2 0)?"),
-    ("odbl-1.0", "od", "odbl 1 0", "open (data commons open )?database licen[cs]e( v1 0)?|odbl"),
+    ("odbl-1.0", "odbl|database", "odbl 1 0", "open (data commons open )?database licen[cs]e( v1 0)?|odbl"),
     ("public-domain", "domain", "public domain", "(in|into|to) the public domain"),
-    ("proprietary", "rights", "proprietary", "all rights reserved"),
+    ("proprietary", "rights|proprietary", "proprietary", "all rights reserved"),
 )
 CC_TERMS = (("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nd", "attribution no ?deriv(s|atives)"), ("by-nc", "attribution non ?commercial"),
             ("by-nc-sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "attribution non ?commercial no ?deriv(s|atives)"))
@@ -109,9 +109,10 @@ FORMS = (
     (0.7, "({name})"),
 )
 # Every rule needs one of these substrings or words.
-GATES = ("licen", "spdx", "gpl", "creative", "cc0", "wtfpl", "odbl", "cecill", "0bsd", "domain", "reserved", "eupl", "cddl")
+GATES = ("licen", "spdx", "gpl", "attribution", "proprietary", "creative", "cc0", "wtfpl", "odbl", "cecill", "0bsd", "domain", "reserved", "eupl", "cddl")
 GATE_WORDS = r"\b(?:mpl|epl|cc[^a-z0-9]+by|ms[^a-z0-9]+[pr]l)\b"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
+WORDS = r"[0-9a-z\x{80}-\x{10FFFF}]+"  # all other characters
 
 
 def creative_commons() -> list[tuple[str, str, str, str]]:
@@ -121,13 +122,13 @@ def creative_commons() -> list[tuple[str, str, str, str]]:
         for version in CC_VERSIONS:
             number, words = version.replace(".", " "), terms.replace("-", " ")
             ending = f" (version )?{number}" if version else ""
-            out.append((f"cc-{terms}" + (f"-{version}" if version else ""), "c", f"cc {words}" + (f" {number}" if version else ""),
+            out.append((f"cc-{terms}" + (f"-{version}" if version else ""), " cc |creative", f"cc {words}" + (f" {number}" if version else ""),
                         f"(cc {words}{' ' + number if version else ''}|creative commons {name}{ending}( international| unported| generic)?)"))
     return out
 
 
 def rules() -> list[tuple[int, str, str, float, str]]:
-    """All rules in order: place, label, keyword, certainty, expression over spaced words."""
+    """All rules in order: place, label, keywords, certainty, expression over spaced words."""
     out = []
     for certainty, form in FORMS:
         for label, keyword, identifier, name in (*LICENSES, *creative_commons()):
@@ -147,7 +148,7 @@ def _rule_groups() -> Column:
     groups: dict[str, list[str]] = {}
     for place, label, keyword, certainty, pattern in rules():
         groups.setdefault(keyword, []).append(f"named_struct('place', {place}, 'label', {_literal(label)}, 'score', {certainty}D, 'regex', {_literal(pattern)})")
-    return F.expr("array(" + ", ".join(f"named_struct('keyword', {_literal(k)}, 'rules', array({', '.join(r)}))" for k, r in groups.items()) + ")")
+    return F.expr("array(" + ", ".join(f"named_struct('keywords', array({', '.join(map(_literal, k.split('|')))}), 'rules', array({', '.join(r)}))" for k, r in groups.items()) + ")")
 
 
 def _length(parts: Column) -> Column:
@@ -187,13 +188,13 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         gate = F.contains("low", F.lit(word)) | gate
     spaced = F.regexp_replace("low", SEPARATORS, " ")
     spaced = F.concat(F.lit(" "), F.replace(F.trim(spaced), F.lit(" "), F.lit("  ")), F.lit(" "))
-    rows = rows.select("doc_id", F.regexp_count("low", F.lit(SEPARATORS.replace("[", "[^", 1))).cast("long").alias("n_words"),
+    rows = rows.select("doc_id", F.regexp_count("low", F.lit(WORDS)).cast("long").alias("n_words"),
                        F.when(gate, spaced).otherwise("").alias("spaced"))
     rows = computed_once(rows, "n_words", "spaced")
 
     col = F.col("spaced")
     pieces = [F.split(col, " " + phrase.replace(" ", "  ") + " ", -1).alias(f"p{k}") for k, (phrase, _) in enumerate(BASE)]
-    groups = F.filter(_rule_groups(), lambda g: F.contains(col, g["keyword"]))
+    groups = F.filter(_rule_groups(), lambda g: F.exists(g["keywords"], lambda k: F.contains(col, k)))
     found = F.flatten(F.transform(groups, lambda g: F.flatten(F.transform(g["rules"], lambda r: _found(col, r)))))
     rows = computed_once(rows.select("doc_id", "n_words", "spaced", *pieces, F.when(col != "", found).alias("found")), "n_words", "spaced", *(f"p{k}" for k in range(len(BASE))), "found")
 

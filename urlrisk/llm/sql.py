@@ -95,7 +95,7 @@ WITH r(place, label, keyword, score, regex) AS (VALUES {values}),
 b(phrase, label, spaced_phrase) AS (VALUES {phrases}),
 d AS (SELECT doc_id, row_number() OVER () AS n, len(regexp_extract_all(lower(coalesce(text, '')), '{SEPARATORS.replace('[', '[^', 1)}'))::BIGINT AS n_words,
              ' ' || replace(trim(regexp_replace(lower(coalesce(text, '')), '{SEPARATORS}', ' ', 'g'), ' '), ' ', '  ') || ' ' AS t FROM documents),
-h AS (SELECT n, place, label, score, regexp_extract_all(t, regex) AS hits, string_split_regex(t, regex) AS rest FROM d JOIN r ON contains(t, keyword) AND regexp_matches(t, regex)),
+h AS (SELECT n, place, label, score, regexp_extract_all(t, regex) AS hits, string_split_regex(t, regex) AS rest FROM d JOIN r ON list_bool_or(list_transform(string_split(keyword, '|'), lambda k: contains(t, k))) AND regexp_matches(t, regex)),
 e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM h),
 f AS (SELECT n, place, label, score, list_sum(list_transform(rest[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0) AS since, length(hits[k]) AS size FROM e),
 s AS (SELECT * FROM f QUALIFY since + size > coalesce(max(since + size) OVER (PARTITION BY n ORDER BY since, size DESC, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)),
