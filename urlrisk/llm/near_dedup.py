@@ -19,7 +19,7 @@ A class is what links and equal texts connect; its id is its smallest doc_id.
   still hold several classes are open.  Their members outside the largest class
   meet the members of other classes in blocks of at most about 128; whole
   sketches are compared, each pair in its first common bucket, and what agrees in
-  0.69 of the registers (3.5 standard deviations below 0.8) is a pair.  The best
+  0.72 of the registers (3.5 standard deviations below 0.8) is a pair.  The best
   pair of each node is verified first; with the classes that follow, all pairs
   that still lie between classes are.
 * **Verification** computes the similarity from the whole texts.
@@ -42,6 +42,7 @@ from .words import STEP, Hasher
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 28, 6
+REGISTERS = 2 * BANDS * ROWS  # of a sketch; the first half makes the buckets, all of them the estimate
 BLOCK = 128  # members of a bucket that meet at a time
 
 
@@ -100,23 +101,23 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / (left[last] / x[both] + right[last] / y[both])).sum())
 
 
-def _sketch_batch(bands: int, rows: int):
+def _sketch_batch(bands: int, rows: int, registers: int):
     hasher = []
 
     def run(ids, texts):
         if not hasher:
             hasher.append(Hasher())
         sets = [hasher[0].shingles(t, WORDS) for t in texts]
-        who = sketches(sets, bands * rows)
+        who = sketches(sets, registers)
         keys, marks = band_keys(who, bands, rows), mix64(who).astype(np.uint8)
         return {"doc_id": pa.array(ids, pa.int64()), "bands": [k if len(s[0]) else [] for k, s in zip(keys, sets)], "marks": [m.tobytes() for m in marks]}
     return run
 
 
-def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
     """``doc_id``, ``digest`` of the text, ``bands`` (bucket keys), ``marks`` (a byte per register), of all rows with both columns; one narrow pass."""
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("bands", pa.list_(pa.int64())), ("marks", pa.binary())])
-    make = _sketch_batch(bands, rows)
+    make = _sketch_batch(bands, rows, max(registers, bands * rows))
     run = batches(["doc_id", "text", "digest"], schema, lambda ids, texts, digests: {**make(ids, texts), "digest": digests})
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
             .withColumn("digest", F.md5("text")).mapInArrow(run, "doc_id long, digest string, bands array<long>, marks binary"))
@@ -245,10 +246,11 @@ def _extended(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(relabelled(labels.unionByName(fresh), step), "labels")
 
 
-def classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
     """``doc_id`` and ``class_id`` of every row of ``docs`` (columns doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = stored(sketched(docs, bands, rows), "sketches")
+    registers = max(registers, bands * rows)
+    sketch = stored(sketched(docs, bands, rows, registers), "sketches")
     # Equal texts become one node; the numbers are final once the table is written.
     nodes = stored(sketch.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
                    .select(F.monotonically_increasing_id().alias("node"), "digest", "first_id", "bands", "marks"), "nodes")
@@ -261,7 +263,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows:
                    .join(docs, "doc_id").where(F.md5("text") == F.col("digest")).groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     labels = components(_verified(_hub_pairs(members), texts, similar))
-    least = similar - 3.5 * (similar * (1 - similar) / (bands * rows)) ** 0.5
+    least = similar - 3.5 * (similar * (1 - similar) / registers) ** 0.5
     pairs = stored(_between_classes(members, labels, nodes, least, best=True), "pairs")
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
     first = ends.groupBy("a").agg(F.max(F.struct("share", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
