@@ -103,7 +103,8 @@ def schedule(spark: SparkSession, slots: int, ends: list[int]) -> DataFrame:
     counted = numbers.mapInArrow(count, "chunk long, source_no int, n long")
     before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("chunk", "source_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return (numbers.mapInArrow(make, "chunk long, slot long, source_no int, inside long").join(offsets, ["chunk", "source_no"])
+    # Spark takes the slots for as few as the numbers they are made of; without the hint it would broadcast them.
+    return (numbers.mapInArrow(make, "chunk long, slot long, source_no int, inside long").join(offsets.hint("shuffle_hash"), ["chunk", "source_no"])
             .select("slot", "source_no", (F.col("offset") + F.col("inside")).alias("rank")))
 
 
