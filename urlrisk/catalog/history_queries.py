@@ -161,6 +161,24 @@ def _history_csv(spark, folder):
     return sinks.history_export(_hist(spark, folder))
 
 
+@query("snk_05_history_csv_file", with_views(f"""SELECT row_number() OVER ({_NEWEST}) || ',"' || replace(content, '"', '""') || '",' || contentType || ',' || threatLevel || ',' || printf('%.1f', score * 100)
+   || ',' || regexp_replace(strftime(analyzedAt, '%Y-%m-%d %H:%M:%S.%f'), '[.]?0+$', '') AS line FROM v_hist""", "v_hist"))
+def _history_csv_file(spark, folder):
+    """The written file, read back line by line."""
+    path = new_folder(spark, "history-csv")
+    sinks.write_history_csv(_hist(spark, folder), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("snk_05_history_json", with_views("""SELECT id, content, contentType AS "contentType", threatLevel AS "threatLevel", round(score, 6) AS score, isPhishing AS "isPhishing" FROM v_hist""", "v_hist"))
+def _history_json(spark, folder):
+    """The whole history as JSON, written and read back."""
+    path = new_folder(spark, "history-json")
+    sinks.write_history_json(_hist(spark, folder), path)
+    schema = "id string, content string, contentType string, threatLevel string, score double, isPhishing boolean"
+    return spark.read.schema(schema).json(path).withColumn("score", F.round("score", 6))
+
+
 @query("snk_06_batch_csv", with_views("""SELECT content AS "URL", status AS "Status", threatLevel AS "Threat Level", printf('%.3f', score) AS "Confidence",
    isPhishing AS "Is Phishing", printf('%.0f', score * 1000) AS "Analysis Time (ms)" FROM v_hist WHERE status = 'done'""", "v_hist"))
 def _batch_csv(spark, folder):

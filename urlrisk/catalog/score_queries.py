@@ -153,13 +153,13 @@ def over_scored(body: str) -> str:
     return with_views("WITH " + ", ".join(parts) + " " + body, *_VIEWS)
 
 
-def scored_urls(spark, folder):
+def scored_urls(spark, folder, **settings):
     sites = O._sites(spark, folder).withColumnRenamed("domain", "known")
     feats = scoring.U.with_parts(sites, "url")
     feats = scoring.U.add_feature_counts(scoring.U.add_features(feats, "url"))
     feats = scoring.U.drop_parts(scoring.U.add_structural_score(scoring.U.add_hits(feats, "url"), "url"))
     enriched = E.enrich(feats.withColumnRenamed("known", "domain"), O.bundle(spark, folder), row="page_id")
-    return S.add_risk_score(S.add_component_scores(E.add_osint_quality(E.add_osint_features(enriched))))
+    return S.add_risk_score(S.add_component_scores(E.add_osint_quality(E.add_osint_features(enriched))), **settings)
 
 
 def _component(name, column, factors):
@@ -182,6 +182,17 @@ def _blend(spark, folder):
     return scored_urls(spark, folder).select("page_id", F.round("finalScore", 6).alias("finalScore"))
 
 
+@query("ext_02_weights", over_scored("""SELECT page_id, round(us * 0.5::DOUBLE + os * 0.3::DOUBLE + cs * 0.2::DOUBLE, 6) AS "finalScore" FROM scored"""))
+def _own_weights(spark, folder):
+    return scored_urls(spark, folder, weights=S.Weights(0.5, 0.3, 0.2)).select("page_id", F.round("finalScore", 6).alias("finalScore"))
+
+
+@query("ext_05_thresholds", over_scored("""SELECT page_id, CASE WHEN fin < 0.1 THEN 'safe' WHEN fin < 0.25 THEN 'suspicious' WHEN fin < 0.4 THEN 'dangerous' ELSE 'critical' END AS "riskLevel"
+   FROM scored"""))
+def _own_thresholds(spark, folder):
+    return scored_urls(spark, folder, thresholds=S.Thresholds(bounds=(0.1, 0.25, 0.4), phishing=0.25)).select("page_id", "riskLevel")
+
+
 @query("sco_06_risk_level", over_scored('SELECT lvl AS "riskLevel", count(*) AS n FROM scored GROUP BY lvl'))
 def _risk_level(spark, folder):
     return scored_urls(spark, folder).groupBy("riskLevel").agg(F.count("*").alias("n"))

@@ -182,6 +182,17 @@ def _hits(spark, folder):
     return _shown(urls.explode_hits(analysis(spark, folder), "page_id"))
 
 
+@query("ext_01_custom_rules", with_views("""
+  SELECT page_id, CAST(contains(url, 'page=2') AS INT) + CAST(regexp_matches(url, '/(en|fr)/') AS INT) AS "patternCount",
+    greatest(CASE WHEN contains(url, 'page=2') THEN 0.2 ELSE 0 END, CASE WHEN regexp_matches(url, '/(en|fr)/') THEN 0.4 ELSE 0 END)::DOUBLE AS "maxSeverity"
+  FROM v_url WHERE page_id < 1000000000000""", "v_url"))
+def _custom_rules(spark, folder):
+    """Rules of the caller in place of the given ones."""
+    mine = (rules.UrlRule("paging", "page=2", 0.2, "second page"), rules.UrlRule("language", "/(en|fr)/", 0.4, "language folder"))
+    own = view(spark, folder, "v_url").where("page_id < 1000000000000")  # the URLs of the pages themselves
+    return urls.url_analysis(own, url_rules=mine, legitimate=()).select("page_id", "patternCount", "maxSeverity")
+
+
 @query("url_05_brand_hits", from_urls(
     "SELECT page_id, rule, severity, description FROM hits WHERE type = 'brand_impersonation'", HITS))
 def _brand_hits(spark, folder):

@@ -58,6 +58,11 @@ def write_history_csv(df: DataFrame, path: str) -> None:
     out.select(line.alias("value")).write.mode("errorifexists").text(path)
 
 
+def write_history_json(df: DataFrame, path: str) -> None:
+    """History rows as JSON, one object per row."""
+    df.write.mode("errorifexists").json(path)
+
+
 def batch_export(df: DataFrame) -> DataFrame:
     """Finished rows of a batch: URL, status, level, confidence, flag, milliseconds."""
     return df.where(F.col("status") == "done").select(
