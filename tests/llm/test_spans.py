@@ -70,6 +70,7 @@ def test_long_runs_take_linear_time():
         text = unit * (600_000 // len(unit))
         pii.scan(text[:200_000] if unit in ("1 ", "-1") else text)
         secret_scan.Scanner().scan(text)
+    assert [s["kind"] for s in pii.scan("at " + "0" * 5000 + "1.2.3.4 now")] == ["ip"]
 
 
 def test_queries_equal_brute_force_on_given_documents(spark):

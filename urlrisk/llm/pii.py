@@ -152,7 +152,7 @@ def _listed(kind: str, piece: bytes) -> int:
     if kind == "email":
         return 1 if piece.rpartition(b".")[2].lower().decode() in DOMAINS else 0
     if kind == "ip":
-        first, second = (int(p) for p in piece.split(b".")[:2])
+        first, second = (int(p.lstrip(b"0") or b"0") for p in piece.split(b".")[:2])
         return -1 if first in (0, 127) or first >= 224 else 1 if first not in (10, 192, 172) or second not in (168, *range(16, 32)) else 0
     if kind == "card":
         return 1 if ISSUERS.match(_digits(piece)) else -1
