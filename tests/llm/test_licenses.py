@@ -7,6 +7,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from compare import compare, duck  # noqa: E402
+import duckdb
 from pyspark.sql import functions as F
 
 from urlrisk.llm import licenses as L
@@ -105,3 +106,22 @@ def test_gate_and_keywords_let_every_rule_through():
             assert any(k in text for k in keywords.split("|")), (label, text)
             plain_text = re.sub(" +", " ", text)
             assert any(g in plain_text for g in L.GATES) or gate.search(plain_text), (label, text)
+
+
+def test_every_verb_with_every_identifier(spark, tmp_path):
+    verbs = [re.sub(r"[()]", "", v).split("|") for v in (L._VERBS, L._BY)]
+    texts = []
+    for _, _, identifier, _ in (*L.LICENSES, *L.creative_commons()):
+        for name in samples(identifier):
+            texts += [f"{verb} {by} {name}" for verb in verbs[0] for by in verbs[1]]
+    texts += [f"{verb}_{by}_the_terms_of the-{name}" for verb in verbs[0] for by in verbs[1] for name in ("mit", "Apache 2.0", "x11", "PSF 2.0")]
+    texts += ["see_mpl_1_0_", "_MPL_2.0_", "_ms_pl_", "cc_by_4.0", "Released under MIT", "distributed under Apache 2.0"]
+    assert len(texts) > 2000
+    rows = [(i, t, None, None, None, "x") for i, t in enumerate(texts)]
+    where = folder(spark, tmp_path, rows)
+    unlabelled = [texts[r["doc_id"]] for r in op10(spark, where).where("labels = ''").collect()]
+    assert not unlabelled, unlabelled[:5]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{where}/documents.parquet'")
+    ok, _, info = compare(spark, con, where, "op10_licenses", QUERIES["op10_licenses"])
+    assert ok, info

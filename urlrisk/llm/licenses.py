@@ -2,8 +2,9 @@
 
 A text becomes its lower-case words, each with a space on both sides, so that a
 rule is a regular expression over whole words whatever punctuation stood between
-them.  Cheap searches come first: a text without any of the gate words is never
-normalised, and a rule is only tried where its keyword occurs.  Every match of a
+them.  Cheap searches come first: every form has a gate that each of its matches
+passes, a text that passes none is never normalised, and a rule is only tried
+where the gate of its form is passed and its keyword occurs.  Every match of a
 rule is a detection, an interval of the text.  A detection that lies inside
 another one is suppressed; of equal intervals the rule that stands first stays.
 
@@ -101,18 +102,22 @@ LICENSES = (
 CC_TERMS = (("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nd", "attribution no ?deriv(s|atives)"), ("by-nc", "attribution non ?commercial"),
             ("by-nc-sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "attribution non ?commercial no ?deriv(s|atives)"))
 CC_VERSIONS = ("4.0", "3.0", "2.5", "2.0", "1.0", "")
+_VERBS = "(licensed|released|distributed|available|published|provided|offered|covered|governed|redistributed)"
+_BY = "(under|by)"
 FORMS = (
     (1.0, "spdx licen[cs]e identifier ({id})"),
-    (0.95, "(licensed|released|distributed|available|published|provided|offered|covered|governed|redistributed) (under|by) (the )?(terms of )?(the )?({name}|{id})"),
+    (0.95, _VERBS + " " + _BY + " (the )?(terms of )?(the )?({name}|{id})"),
     (0.9, "(opensource|spdx) org licenses? ({id})"),
     (0.9, "licen[cs]e ({id})"),
     (0.7, "({name})"),
 )
-# Every rule needs one of these substrings or words.
-GATES = ("licen", "spdx", "gpl", "attribution", "proprietary", "creative", "cc0", "wtfpl", "odbl", "cecill", "0bsd", "domain", "reserved", "eupl", "cddl")
-GATE_WORDS = r"\b(?:mpl|epl|cc[^a-z0-9]+by|ms[^a-z0-9]+[pr]l)\b"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
 WORDS = r"[0-9a-z\x{80}-\x{10FFFF}]+"  # all other characters
+# Gates, over lower-cased text.  Names need one of these substrings or words.
+GATES = ("licen", "spdx", "gpl", "attribution", "proprietary", "creative", "cc0", "wtfpl", "odbl", "cecill", "0bsd", "domain", "reserved", "eupl", "cddl")
+GATE_WORDS = f"(?:^|{SEPARATORS})(?:mpl|epl|cc{SEPARATORS}by|ms{SEPARATORS}[pr]l)(?:$|{SEPARATORS})"
+# The second form needs its verb; any identifier may follow.
+GATE_VERBS = f"{_VERBS}{SEPARATORS}{_BY}{SEPARATORS}"
 
 
 def creative_commons() -> list[tuple[str, str, str, str]]:
@@ -127,6 +132,16 @@ def creative_commons() -> list[tuple[str, str, str, str]]:
     return out
 
 
+def gates(low: Column) -> Column:
+    """For every form whether a lower-cased text passes its gate."""
+    named = low.rlike(GATE_WORDS)
+    for word in GATES:
+        named = F.contains(low, F.lit(word)) | named
+    licence = F.contains(low, F.lit("licen"))
+    # In the order of FORMS.
+    return F.array(F.contains(low, F.lit("spdx")), F.rlike(low, F.lit(GATE_VERBS)), licence & F.contains(low, F.lit("org")), licence, named)
+
+
 def rules() -> list[tuple[int, str, str, float, str]]:
     """All rules in order: place, label, keywords, certainty, expression over spaced words."""
     out = []
@@ -147,7 +162,8 @@ def _rule_groups() -> Column:
     """The rules by keyword, as one constant."""
     groups: dict[str, list[str]] = {}
     for place, label, keyword, certainty, pattern in rules():
-        groups.setdefault(keyword, []).append(f"named_struct('place', {place}, 'label', {_literal(label)}, 'score', {certainty}D, 'regex', {_literal(pattern)})")
+        form = place // (len(LICENSES) + len(CC_TERMS) * len(CC_VERSIONS))
+        groups.setdefault(keyword, []).append(f"named_struct('place', {place}, 'form', {form}, 'label', {_literal(label)}, 'score', {certainty}D, 'regex', {_literal(pattern)})")
     return F.expr("array(" + ", ".join(f"named_struct('keywords', array({', '.join(map(_literal, k.split('|')))}), 'rules', array({', '.join(r)}))" for k, r in groups.items()) + ")")
 
 
@@ -183,19 +199,18 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels (array), detections (array of label and score)."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     rows = computed_once(docs.select(F.col(doc_id).alias("doc_id"), low.alias("low")), "low")
-    gate = F.col("low").rlike(GATE_WORDS)
-    for word in GATES:
-        gate = F.contains("low", F.lit(word)) | gate
+    rows = computed_once(rows.select("doc_id", "low", gates(F.col("low")).alias("gates")), "low", "gates")
     spaced = F.regexp_replace("low", SEPARATORS, " ")
     spaced = F.concat(F.lit(" "), F.replace(F.trim(spaced), F.lit(" "), F.lit("  ")), F.lit(" "))
     rows = rows.select("doc_id", F.regexp_count("low", F.lit(WORDS)).cast("long").alias("n_words"),
-                       F.when(gate, spaced).otherwise("").alias("spaced"))
-    rows = computed_once(rows, "n_words", "spaced")
+                       "gates", F.when(F.array_contains("gates", True), spaced).otherwise("").alias("spaced"))
+    rows = computed_once(rows, "n_words", "gates", "spaced")
 
     col = F.col("spaced")
     pieces = [F.split(col, " " + phrase.replace(" ", "  ") + " ", -1).alias(f"p{k}") for k, (phrase, _) in enumerate(BASE)]
     groups = F.filter(_rule_groups(), lambda g: F.exists(g["keywords"], lambda k: F.contains(col, k)))
-    found = F.flatten(F.transform(groups, lambda g: F.flatten(F.transform(g["rules"], lambda r: _found(col, r)))))
+    tried = lambda g: F.filter(g["rules"], lambda r: F.get("gates", r["form"]))
+    found = F.flatten(F.transform(groups, lambda g: F.flatten(F.transform(tried(g), lambda r: _found(col, r)))))
     rows = computed_once(rows.select("doc_id", "n_words", "spaced", *pieces, F.when(col != "", found).alias("found")), "n_words", "spaced", *(f"p{k}" for k in range(len(BASE))), "found")
 
     counts = [F.size(f"p{k}") - 1 for k in range(len(BASE))]
