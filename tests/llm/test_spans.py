@@ -122,6 +122,38 @@ def test_entropy_spans_and_allow_list():
     assert [s["kind"] for s in scan(f"token={key}")] == ["assign"]  # reported once
 
 
+def test_keys_glued_to_allowed_text_and_to_base_spans():
+    scan = secret_scan.Scanner().scan
+    key = "Zx8kQ2vLm9TfR4wYb7NpJc3HsD6gEa1U"
+    for before in ("backup/2024-05-01/", "path/to/file/", "sample=", "objects/123e4567-e89b-12d3-a456-426614174000/"):
+        spans = [s for s in scan(f"see {before}{key} here") if s["kind"] == "entropy"]
+        at = 4 + len(before)
+        assert [s["end"] for s in spans] == [at + len(key)] and at - 1 <= spans[0]["start"] <= at, (before, spans)
+    for middle in ("xxxxxx", "00000000"):
+        spans = scan(key + middle + key)
+        # The mask is no part of a span, whatever it is cut out of.
+        assert [(s["start"], s["end"]) for s in spans] == [(0, len(key)), (len(key + middle), 2 * len(key) + len(middle))], spans
+    access = "AKIA" + "ABCDEFGH1234"
+    spans = scan(f"{key}+{access}+{key}")
+    assert [s["kind"] for s in spans] == ["entropy", "access", "entropy"]
+    assert all(b["start"] >= a["end"] for a, b in zip(spans, spans[1:]))
+    for clean in ("0123456789abcdefghijklmnopqrstuvwxyz", secret_scan.UPPER + secret_scan.LOWER + secret_scan.DIGITS + "+/", "path/to/file/of-many-words/readme12", "123e4567-e89b-12d3-a456-426614174000/v1"):
+        assert not [s for s in scan(f"see {clean} here") if s["kind"] == "entropy"], clean
+
+
+def test_mixed_keys_of_the_least_length():
+    scan = secret_scan.Scanner().scan
+    key = "Zx8kQ2vLm9TfR4wYb7NpJc3H"
+    for n in range(secret_scan.LEAST_CANDIDATE, 25):
+        assert [(s["kind"], s["start"], s["end"]) for s in scan(f"use {key[:n]} here")] == [("entropy", 4, 4 + n)]
+
+
+def test_long_candidates_take_linear_time():
+    key = "Zx8kQ2vLm9TfR4wYb7NpJc3HsD6gEa1U"
+    for text in ("a" * 300_000 + "1" + key, key + "example" * 40_000, (key + "/") * 5_000, (key + "/AKIAABCDEFGH1234/") * 3_000):
+        secret_scan.Scanner().scan(text)
+
+
 def test_labelers_agree_on_planted_spans(spark):
     rng = random.Random(1)
     texts = [f"call me on phone {rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)} today" for _ in range(60)]

@@ -4,9 +4,10 @@ Candidate strings are runs of 20 or more letters, digits and ``+/_=-``.  Inside
 candidate every class of characters has a window of its own that slides over the
 runs of that class; counts of the characters in the window are updated by the one
 that enters and the one that leaves, and with them the entropy.  Windows at or
-above the threshold of the class are joined to spans.  A span counts if it mixes
-letters and digits, overlaps no span found before, and nothing on the allow list
-matches its candidate.
+above the threshold of the class are joined to spans.  Spans found before and what
+the allow list matches are cut out of the candidate, and windows slide over the
+parts between; a stand-in or alphabet that is glued to letters or digits takes its
+whole word with it.  A span counts if it mixes letters and digits.
 
 Defined cases: null and empty texts have no spans.  Offsets count code points of
 the whole text, the end is exclusive.  Characters outside ASCII end every run.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,14 +34,18 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 LEAST_CANDIDATE = 20
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CLASSES = (("hex", DIGITS + "abcdef", 20, 3.0), ("HEX", DIGITS + "ABCDEF", 20, 3.0), ("base32", DIGITS + UPPER, 20, 3.5),
-           ("base36", DIGITS + LOWER, 20, 3.5), ("base64", DIGITS + LOWER + UPPER + "+/_=-", 24, 4.0))
+           ("base36", DIGITS + LOWER, 20, 3.5), ("base64", DIGITS + LOWER + UPPER + "+/_=-", 24, 4.0),
+           ("base64 short", DIGITS + LOWER + UPPER + "+/_=-", 20, 3.8))
+STAND_INS = (
+    r"(?i)example|sample|placeholder|changeme|dummy|your[_-]",
+    r"(?i)0123456789|abcdefghij|qwertyuiop",  # alphabets
+)
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
-    r"(?i)example|sample|placeholder|changeme|dummy|your[_-]",  # stand-ins
-    r"(?i)0123456789|abcdefghij|qwertyuiop",  # alphabets
+    *STAND_INS,
     r"(?i)x{6,}|0{8,}",  # masks
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}",  # dates
-    r"(?:[a-z]+[-_/]){3,}",  # paths and slugs of words
+    r"(?<![a-z])(?:[a-z]+[-_/]){3,}",  # paths and slugs of words
 )
 
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
@@ -90,33 +96,67 @@ def hot_windows(piece: bytes, window: int, bits: float) -> list[tuple[int, int]]
     return out
 
 
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order of begin, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and out[-1][1] >= a:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def outside(end: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of 0..end that no cut covers."""
+    start = 0
+    for a, b in sorted(cuts):
+        if a > start:
+            yield start, a
+        start = max(start, b)
+    if start < end:
+        yield start, end
+
+
 class Scanner:
     def __init__(self, classes=CLASSES, allowed=ALLOWED):
         self.classes = [(flags(chars), window, bits) for _, chars, window, bits in classes]
-        self.allowed = [re.compile(a.encode()) for a in allowed]
+        self.allowed = [(re.compile(a.encode()), a in STAND_INS) for a in allowed]
+
+    def cuts(self, piece: bytes) -> list[tuple[int, int]]:
+        """What the allow list takes out of a candidate."""
+        found = []
+        for pattern, whole in self.allowed:
+            last = 0
+            for m in pattern.finditer(piece):
+                a, b = m.span()
+                if whole and b > last:
+                    while a > last and piece[a - 1:a].isalnum():
+                        a -= 1
+                    while b < len(piece) and piece[b - 1:b + 1].isalnum():
+                        b += 1
+                    last = b
+                found.append((a, b))
+        return found
+
+    def hot(self, piece: bytes) -> list[tuple[int, int]]:
+        return [(a + x, a + y) for table, window, bits in self.classes for a, b in runs(piece.translate(table), window) for x, y in hot_windows(piece[a:b], window, bits)]
 
     def entropy_spans(self, view: bytes, taken: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
-        taken = sorted((a, b) for _, a, b in taken)
+        base, at = joined(sorted((a, b) for _, a, b in taken)), 0
         for start, end in runs(view.translate(CANDIDATE_FLAGS), LEAST_CANDIDATE):
             piece = view[start:end]
+            while at < len(base) and base[at][1] <= start:
+                at += 1
+            over = [(a - start, b - start) for a, b in base[at:bisect_left(base, (end,))]]
             if piece.isalpha() or piece.isdigit():
                 continue
-            hot = []
-            for table, window, bits in self.classes:
-                for a, b in runs(piece.translate(table), window):
-                    hot += [(a + x, a + y) for x, y in hot_windows(piece[a:b], window, bits)]
-            if not hot or any(a.search(piece) for a in self.allowed):
-                continue
-            joined: list[list[int]] = []
-            for a, b in sorted(hot):
-                if joined and joined[-1][1] >= a:
-                    joined[-1][1] = max(joined[-1][1], b)
-                else:
-                    joined.append([a, b])
-            for a, b in joined:
+            hot = self.hot(piece)
+            if hot and (cuts := over + self.cuts(piece)):
+                hot = [(since + x, since + y) for since, till in outside(len(piece), cuts) for x, y in self.hot(piece[since:till])]
+            for a, b in joined(sorted(hot)):
                 part = piece[a:b]
-                mixed = any(48 <= c < 58 for c in part) and any(c > 64 for c in part)
-                if mixed and not any(x < start + b and start + a < y for x, y in taken):
+                if any(48 <= c < 58 for c in part) and any(c > 64 for c in part):
                     yield ADDED, start + a, start + b
 
     def scan(self, text: str | None) -> list[dict]:
