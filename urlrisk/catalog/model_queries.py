@@ -10,8 +10,8 @@ from .dataset_queries import prepared
 from .registry import query
 from .views import view, with_views
 
-_SMALL = {"maxIter": 4, "maxDepth": 3}
-_SPACE = (("maxDepth", 2, 3, "int"), ("stepSize", 0.05, 0.3, "log"), ("maxIter", 2, 3, "int"))
+# The most rounds and levels that the search may draw; validation rows end the rounds.
+_FULL = {name: high for name, _, high, _ in M.SEARCH_SPACE if name in ("maxIter", "maxDepth")}
 
 
 def _parts(spark, folder):
@@ -23,38 +23,38 @@ def _parts(spark, folder):
 @query("ml_01_train")
 def _train(spark, folder):
     train, val, test, names = _parts(spark, folder)
-    model = M.train(train, val, names, **_SMALL)
+    model = M.train(train, val, names, **_FULL)
     return V.evaluation_report(M.add_probability(test, model))
 
 
 @query("ml_02_search")
 def _search(spark, folder):
     train, _, _, names = _parts(spark, folder)
-    return M.search(train, names, "row_key", trials=2, k=2, space=_SPACE)[1].select("trial", "meanAuc", "stdAuc")
+    return M.search(train, names, "row_key")[1].select("trial", "meanAuc", "stdAuc")
 
 
 @query("ml_03_best_trial")
 def _best(spark, folder):
     train, _, _, names = _parts(spark, folder)
-    return M.best_trial(M.search(train, names, "row_key", trials=2, k=2, space=_SPACE)[1]).select("trial", "meanAuc")
+    return M.best_trial(M.search(train, names, "row_key")[1]).select("trial", "meanAuc")
 
 
 @query("ml_04_predict")
 def _predict(spark, folder):
     train, val, test, names = _parts(spark, folder)
-    return M.predict(test, M.train(train, val, names, **_SMALL)).select("row_key", "score", "prediction")
+    return M.predict(test, M.train(train, val, names, **_FULL)).select("row_key", "score", "prediction")
 
 
 @query("eva_07_importances")
 def _importances(spark, folder):
     train, val, _, names = _parts(spark, folder)
-    return M.importances(train, M.train(train, val, names, **_SMALL))
+    return M.importances(train, M.train(train, val, names, **_FULL))
 
 
 @query("eva_08_ablation")
 def _ablation(spark, folder):
     train, val, test, names = _parts(spark, folder)
-    return M.ablation(train, val, test, names, "row_key", k=2, maxIter=2, maxDepth=2)
+    return M.ablation(train, val, test, names, "row_key", **_FULL)
 
 
 @query("eva_08_metric_deltas", with_views("""
@@ -72,7 +72,7 @@ def _deltas(spark, folder):
 @query("exp_01_contributions")
 def _contributions(spark, folder):
     train, val, test, names = _parts(spark, folder)
-    model = M.train(train, val, names, **_SMALL)
+    model = M.train(train, val, names, **_FULL)
     # One row of column means.
     means = train.agg(*[F.avg(n).alias(n) for n in names]).first().asDict()
     return M.contributions(test, model, means, "row_key")
@@ -81,7 +81,7 @@ def _contributions(spark, folder):
 @query("snk_07_model")
 def _save(spark, folder):
     train, val, test, names = _parts(spark, folder)
-    model = M.train(train, val, names, **_SMALL)
+    model = M.train(train, val, names, **_FULL)
     path, meta = new_folder(spark, "snk07"), new_folder(spark, "snk07-meta")
     M.save(model, path, M.importances(train, model), meta)
     return M.predict(test, M.load(path)).groupBy("prediction").agg(F.count("*").alias("n"))
@@ -96,7 +96,7 @@ def _model_score(spark, folder):
     labelled = score_urls(urls).withColumn("label", (F.col("patternCount") > 1).cast("int"))
     path = new_folder(spark, "sco05")
     labelled.select(*rules.MODEL_FEATURES, "label").write.parquet(path)
-    model = M.train(spark.read.parquet(path), None, rules.MODEL_FEATURES, **_SMALL)
+    model = M.train(spark.read.parquet(path), None, rules.MODEL_FEATURES)
     return score_urls(urls, model=model).select("url_id", F.round("finalScore", 6).alias("finalScore"), "riskLevel", F.round("confidence", 6).alias("confidence"))
 
 

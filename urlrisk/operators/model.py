@@ -119,7 +119,7 @@ def ablation(train_rows: DataFrame, val_rows: DataFrame, test_rows: DataFrame, n
              k: int = 5, seed: int = 42, **params) -> DataFrame:
     """Metrics (run, metric, value) of the URL features alone and of all features.
 
-    Early stopping uses the validation rows, never the test rows.  The deviation
+    Early stopping uses the validation rows, in the folds too, never the test rows.  The deviation
     over folds is the population form.
     """
     runs = {"urlOnly": [n for n in names if n not in rules.OSINT_FEATURES], "urlPlusOsint": list(names)}
@@ -130,7 +130,7 @@ def ablation(train_rows: DataFrame, val_rows: DataFrame, test_rows: DataFrame, n
         report = evaluate.evaluation_report(add_probability(test_rows, model))
         scored = None
         for fold in range(k):
-            fold_model = train(folded.where(F.col("fold") != fold).drop("fold"), None, features, seed=seed, **params)
+            fold_model = train(folded.where(F.col("fold") != fold).drop("fold"), val_rows, features, seed=seed, **params)
             auc = evaluate.roc_auc(add_probability(folded.where(F.col("fold") == fold), fold_model))
             scored = auc if scored is None else scored.unionByName(auc)
         cv = scored.agg(F.avg("rocAuc").alias("cvAucMean"), F.stddev_pop("rocAuc").alias("cvAucStd"))
