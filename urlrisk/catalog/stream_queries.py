@@ -37,17 +37,32 @@ def _dedupe_stream(spark, folder):
 _LEVELS = ", ".join(f"count(*) FILTER (WHERE threatLevel = '{x}') AS {x}" for x in ("safe", "suspicious", "dangerous", "critical"))
 
 
-@query("str_03_level_counts", with_views(f"""SELECT date_trunc('hour', analyzedAt) AS "windowStart", {_LEVELS}, count(*) AS total FROM v_hist GROUP BY 1""", "v_hist"))
+_COUNTS = with_views(f"""SELECT date_trunc('hour', analyzedAt) AS "windowStart", {_LEVELS}, count(*) AS total FROM v_hist GROUP BY 1""", "v_hist")
+
+
+@query("str_03_level_counts", _COUNTS)
 def _level_counts(spark, folder):
     return jobs.level_counts(view(spark, folder, "v_hist"))
 
 
-# The stream gives a window once the newest row is one hour (the delay) past its end.
-@query("str_03_level_counts_stream", with_views(f"""SELECT date_trunc('hour', analyzedAt) AS "windowStart", {_LEVELS}, count(*) AS total FROM v_hist GROUP BY 1
-   HAVING date_trunc('hour', analyzedAt) + INTERVAL 2 HOURS <= (SELECT max(analyzedAt) FROM v_hist)""", "v_hist"))
-def _level_counts_stream(spark, folder):
+def _streamed_counts(spark, folder):
+    """Output and checkpoint of a stream that has ended."""
     source, out, checkpoint = (new_folder(spark, f"str03-{n}") for n in ("in", "out", "checkpoint"))
     view(spark, folder, "v_hist").select("threatLevel", F.col("analyzedAt").cast("timestamp").alias("analyzedAt")).write.parquet(source)
     stream = spark.readStream.schema("threatLevel string, analyzedAt timestamp").parquet(source)
     jobs.append_stream(jobs.level_counts(stream), out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+    return out, checkpoint
+
+
+# The stream gives a window once the newest row is one hour (the delay) past its end.
+@query("str_03_level_counts_stream", with_views(f"""SELECT date_trunc('hour', analyzedAt) AS "windowStart", {_LEVELS}, count(*) AS total FROM v_hist GROUP BY 1
+   HAVING date_trunc('hour', analyzedAt) + INTERVAL 2 HOURS <= (SELECT max(analyzedAt) FROM v_hist)""", "v_hist"))
+def _level_counts_stream(spark, folder):
+    return spark.read.parquet(_streamed_counts(spark, folder)[0])
+
+
+@query("str_03_level_counts_stream_all", _COUNTS)
+def _level_counts_stream_all(spark, folder):
+    """All windows: those that the stream has given, and those that it still holds open at its end."""
+    out, checkpoint = _streamed_counts(spark, folder)
+    return spark.read.parquet(out).unionByName(jobs.open_level_counts(spark, checkpoint))

@@ -24,8 +24,9 @@ def score_stream(messages: DataFrame, bundle: DataFrame, out: str, checkpoint: s
                  **options) -> StreamingQuery:
     """Score a stream of messages and append the verdicts to a table.
 
-    The bundle is a static table, read anew for every micro-batch.  The file sink
-    and the checkpoint make each input file count exactly once.
+    The bundle is a static table: its files are those of the time when it was read,
+    so a newer bundle needs a stream that is started again.  The file sink and the
+    checkpoint make each input file count exactly once.
     """
     writer = (score_messages(messages, bundle, **options).writeStream.format("parquet").outputMode("append")
               .option("path", out).option("checkpointLocation", checkpoint))
@@ -46,6 +47,19 @@ def level_counts(scored: DataFrame, at: str = "analyzedAt", width: str = "1 hour
             .select(F.col("w.start").alias("windowStart"), *rules.LEVELS, "total"))
 
 
+def open_level_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The windows that a stream of ``level_counts`` holds in its state, with their rows so far.
+
+    An appending stream gives a window once the watermark has closed it and forgets
+    it then, so these rows and the appended ones are all windows, each of them once.
+    The stream must have ended.
+    """
+    counts = F.col("value").cast("struct<" + ", ".join(f"{c}: bigint" for c in (*rules.LEVELS, "total")) + ">")
+    return (spark.read.format("statestore").load(checkpoint)
+            .select(F.col("key").getField("window")["start"].alias("windowStart"), counts.alias("counts"))
+            .select("windowStart", "counts.*"))
+
+
 def append_stream(df: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append a stream to a Parquet table."""
     writer = (df.writeStream.format("parquet").outputMode("append")
