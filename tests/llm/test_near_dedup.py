@@ -119,3 +119,13 @@ def test_exact_similarity_and_its_estimate():
     assert abs(N.probability_jaccard(s, t) - exact) < 1e-9
     who = N.sketches([s, t], 4096)
     assert abs((who[0] == who[1]).mean() - exact) < 0.03
+
+
+def test_unlike_texts_of_one_doc_id_do_not_replace_each_other(spark):
+    base = [f"w{i}" for i in range(80)]
+    copy, other = " ".join([*base[:-1], "last"]), " ".join(f"v{i}" for i in range(80))
+    text = " ".join(base)
+    rows = [(5, text), (5, other), (3, copy), (5, other), (7, text), (7, copy)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        assert sorted(map(tuple, N.kept(docs).collect())) == [(3, copy), (5, other)]

@@ -26,8 +26,8 @@ A class is what links and equal texts connect; its id is its smallest doc_id.
 
 Defined cases: texts of one to four words have one shingle, all their words.  An
 empty text is linked with equal texts only.  A row whose doc_id or text is null
-takes no part: its class is its own doc_id.  Rows that repeat a doc_id share its
-class.
+takes no part: its class is its own doc_id.  Rows that repeat a doc_id with another
+text have the class of their text; each class keeps a row of its own.
 """
 
 from __future__ import annotations
@@ -246,8 +246,8 @@ def _extended(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(relabelled(labels.unionByName(fresh), step), "labels")
 
 
-def classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
-    """``doc_id`` and ``class_id`` of every row of ``docs`` (columns doc_id, text)."""
+def _named(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> tuple[DataFrame, DataFrame]:
+    """Sketches of the rows of ``docs``, and ``digest``, ``first_id`` and ``label`` (of its class) of every text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     registers = max(registers, bands * rows)
     sketch = stored(sketched(docs, bands, rows, registers), "sketches")
@@ -271,7 +271,13 @@ def classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows:
     rest = _between_classes(members, labels, nodes, least, best=False).select("a", "b")
     labels = _extended(labels, stored(_verified(stored(rest, "pairs"), texts, similar), "verified"))
 
-    named = nodes.select("node", "digest", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return sketch, nodes.select("node", "digest", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def classes(docs: DataFrame, **settings) -> DataFrame:
+    """``doc_id`` and ``class_id`` of every row of ``docs`` (columns doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketch, named = _named(docs, **settings)
     ids = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
     by_digest = named.join(ids, "label").select("digest", "class_id")
     taking_part = sketch.select("doc_id", "digest").join(by_digest, "digest").select("doc_id", "class_id")
@@ -280,7 +286,11 @@ def classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows:
 
 
 def kept(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the document that names it; rows without doc_id or text all stay."""
-    found = classes(docs, **settings).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    part = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(found, F.col("doc_id").cast("long") == F.col("kept_id")).drop("kept_id")
-    return part.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL OR text IS NULL"))
+    """The rows of ``docs`` that stay: of each class one with the smallest doc_id, of several texts with that doc_id the smallest digest.
+
+    Rows without doc_id or text all stay.
+    """
+    named = _named(docs, **settings)[1]
+    found = named.groupBy("label").agg(F.min(F.struct("first_id", "digest")).alias("k")).select(F.col("k.first_id").alias("kept_id"), F.col("k.digest").alias("kept_digest"))
+    part = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(found, (F.col("doc_id").cast("long") == F.col("kept_id")) & (F.md5("text") == F.col("kept_digest")))
+    return part.dropDuplicates(["kept_id", "kept_digest"]).drop("kept_id", "kept_digest").unionByName(docs.where("doc_id IS NULL OR text IS NULL"))
