@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog.registry import Query
-from . import ann, decontaminate, html_extract, language_id, licenses, mixture, near_dedup, pii, secret_scan, shards, sql
+from . import ann, byte_bpe, decontaminate, html_extract, language_id, licenses, mixture, near_dedup, pii, secret_scan, shards, sql
 from .common import stored, table
 from .spans import digest_columns
 
@@ -93,3 +93,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     found = html_extract.extract(pages, html_extract.fit(pages))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Number and digest of the ids of every document, and digest of the bytes decoded from them."""
+    import public_tokenizers
+
+    known = byte_bpe.tables(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    return byte_bpe.round_trip(table(spark, folder, "documents").select("doc_id", "text"), known, public_tokenizers.PATTERN).drop("text")
