@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog.registry import Query
-from . import ann, byte_bpe, decontaminate, html_extract, language_id, licenses, mixture, near_dedup, pii, secret_scan, shards, sql
+from . import ann, byte_bpe, collocations, decontaminate, html_extract, language_id, lexical, licenses, mixture, near_dedup, pii, secret_scan, shards, sql
 from .common import stored, table
 from .spans import digest_columns
 
@@ -102,3 +102,15 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 
     known = byte_bpe.tables(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
     return byte_bpe.round_trip(table(spark, folder, "documents").select("doc_id", "text"), known, public_tokenizers.PATTERN).drop("text")
+
+
+@query("op12_lexical_search", sql.LEXICAL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty documents that score highest for every benchmark item."""
+    return lexical.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_collocations", sql.COLLOCATIONS)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The first two thousand phrases of every language whose words go together."""
+    return collocations.collocations(table(spark, folder, "documents"))

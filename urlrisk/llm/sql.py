@@ -118,3 +118,42 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 
 #: The graphical model has no SQL form.
 MAIN_TEXT = None
+
+
+LEXICAL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+n AS (SELECT r, doc_id, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM n),
+i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+      FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+a AS (SELECT q, item_id, term, count(*)::BIGINT AS times FROM (SELECT q, item_id, unnest(terms) AS term FROM i) GROUP BY ALL),
+p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, g GROUP BY term, docs),
+s AS (SELECT a.q, a.item_id, n.doc_id, n.r, sum(a.times * f.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * n.n * g.docs) // g.words))))::BIGINT AS score
+      FROM a JOIN f USING (term) JOIN p USING (term) JOIN n USING (r), g GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+COLLOCATIONS = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+o AS (SELECT lang, 1 AS k, unnest(list_transform(range(1, len(ws) + 1), lambda i: ws[i:i])) AS p FROM w
+      UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i:i + 1])) FROM w
+      UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2])) FROM w),
+f AS (SELECT lang, k, p, count(*)::BIGINT AS n FROM o GROUP BY ALL),
+t AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND n >= 10),
+s AS (SELECT c.lang, c.p, c.k, c.n AS a, cut, x.n AS l, y.n AS r, ((1000000 * c.n::HUGEINT * c.n) // (x.n::HUGEINT * y.n))::BIGINT AS score
+      FROM c, (VALUES (1), (2)) v(cut), f x, f y
+      WHERE cut < c.k AND x.lang = c.lang AND x.p = c.p[:cut] AND y.lang = c.lang AND y.p = c.p[cut + 1:]
+      QUALIFY row_number() OVER (PARTITION BY c.lang, c.p ORDER BY score, cut) = 1),
+m AS (SELECT lang, p, max(n) AS most FROM (SELECT lang, p[:2] AS p, n FROM c WHERE k = 3 UNION ALL SELECT lang, p[2:], n FROM c WHERE k = 3) GROUP BY ALL)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, array_to_string(s.p, ' ')) AS rank, array_to_string(s.p, ' ') AS phrase, a, l, r, t.n, score
+FROM s JOIN t ON t.lang = s.lang LEFT JOIN m ON m.lang = s.lang AND m.p = s.p
+WHERE most IS NULL OR 100 * most < 50 * a
+QUALIFY rank <= 2000
+"""
