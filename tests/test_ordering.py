@@ -31,9 +31,38 @@ def test_curated_rows_without_a_key_are_numbered(spark):
 
 
 def test_running_sums_with_a_null_key(spark):
-    rows = [(None, 5), (0.25, 1), (0.5, 2), (0.75, 4)]
-    df = spark.createDataFrame(rows, "score double, n long").withColumn("b", F.floor(F.col("score") * 10))
-    assert sorted((r["score"] or 0, r["cum_n"]) for r in O.running_sums(df, ["b"], "score", ["n"]).collect()) == [(0, 5), (0.25, 6), (0.5, 8), (0.75, 12)]
+    df = spark.createDataFrame([(None, 5), (0.25, 1), (0.5, 2), (0.75, 4)], "score double, n long")
+    for partitions in (None, 1, 3):
+        got = O.running_sums(df, [F.col("score")], ["n"], partitions).collect()
+        assert sorted((r["score"] or 0, r["cum_n"]) for r in got) == [(0, 5), (0.25, 6), (0.5, 8), (0.75, 12)]
+
+
+def in_tasks(spark, rows):
+    """Rows of each range."""
+    return [r["n"] for r in rows.groupBy("_range").agg(F.count("*").alias("n")).collect()]
+
+
+def test_scores_of_any_size_and_one_rank_are_split(spark):
+    """Scores up to 1e9, one constant rank, and rows that are equal throughout: no range holds more than half."""
+    wide = spark.range(20_000).select((F.pow(F.lit(10.0), F.col("id") % 10) * (1 + F.col("id") / 1e6)).alias("score"))
+    one = spark.range(20_000).select(F.lit(0).alias("score"), F.concat(F.lit("http://a/"), F.col("id").cast("string")).alias("url"))
+    same = spark.range(20_000).select(F.lit(1).alias("score"), F.lit("x").alias("url"))
+    for df in (wide, one, same):
+        sizes = in_tasks(spark, O.in_ranges(df, [F.col("score")], partitions=8))
+        assert sum(sizes) == 20_000 and len(sizes) > 4 and max(sizes) < 10_000
+        assert sorted(r["no"] for r in O.row_numbers(df, [F.col("score")], "no", partitions=8).collect()) == list(range(1, 20_001))
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.range(5000).select(F.col("id"), (F.col("id") % 50).alias("k"))
+    rows = O.row_numbers(df, [F.col("k").desc(), F.col("id")], "no", partitions=7).orderBy("no").collect()
+    assert [(r["k"], r["id"]) for r in rows] == sorted(((i % 50, i) for i in range(5000)), key=lambda r: (-r[0], r[1]))
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "score double, n long")
+    assert O.row_numbers(none, [F.col("score")], "no").count() == 0 == O.running_sums(none, [F.col("score")], ["n"]).count()
+    assert O.hash_zones(spark.createDataFrame([], "label int, h string"), "label", "h", lambda rows: {k: [1] for k in rows}).count() == 0
 
 
 def test_cuts_are_exact_in_every_group(spark):
@@ -41,14 +70,24 @@ def test_cuts_are_exact_in_every_group(spark):
     ranks = {}
     for r in sorted(df.collect(), key=lambda r: r["h"]):
         ranks.setdefault(r["label"], []).append(r["id"])
-    cuts = spark.createDataFrame([(k, [0, 1, len(v) // 2, len(v), len(v) + 9]) for k, v in ranks.items()], "label int, cuts array<long>")
-    out = O.hash_zones(df, "label", "h", cuts).collect()
+    out = O.hash_zones(df, "label", "h", lambda rows: {k: [0, 1, n // 2, n, n + 9] for k, n in rows.items()}).collect()
     assert len(out) == 1000
     for r in out:
         rank, n = ranks[r["label"]].index(r["id"]) + 1, len(ranks[r["label"]])
         assert r["zone"] == sum(rank > c for c in (0, 1, n // 2, n, n + 9))
 
 
+def test_medians_narrow_until_few_values_are_left(spark):
+    """Distinct doubles, many more than one task may hold, and values that repeat."""
+    from urlrisk.operators.dataset import exact_medians
+    df = spark.range(30_001).select(F.hash("id").cast("double").alias("a"), (F.hash("id") % 3).alias("b"), F.when(F.col("id") < 4, F.col("id") * 1.0).alias("c"),
+                                    F.lit(None).cast("double").alias("d"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(F.col("id") * 2.0).alias("e"))
+    want = df.agg(*[F.median(c).alias(c) for c in "abcde"]).first().asDict()
+    for most, accuracy in ((100_000, 10_000), (50, 20), (1, 10)):
+        got = {r["column"]: r["median"] for r in exact_medians(df, list("abcde"), accuracy, most).collect()}
+        assert got == {c: want[c] for c in "abce"}
+
+
 def test_split_and_balance_keep_rows_without_a_label(spark):
     df = spark.range(100).select(F.col("id").cast("string").alias("row_key"), F.when(F.col("id") < 10, None).otherwise((F.col("id") % 2).cast("int")).alias("label"))
     assert dataset.split(df).count() == 100

@@ -51,19 +51,10 @@ def test_history(spark):
     assert [r["c"] for r in text] == ["z" * 60, "z" * 57 + "…"]
 
 
-def test_delete_rewrites_touched_dates(spark):
-    path, out = new_folder(spark, "hist"), new_folder(spark, "hist")
-    entries(spark, 12).withColumn("date", F.to_date("analyzedAt")).write.partitionBy("date").parquet(path)
-    assert H.delete_rewriting(spark, path, out, "none") is False
-    assert H.delete_rewriting(spark, path, out, "003") is True
-    kept = spark.read.parquet(out)
-    assert kept.select("date").distinct().count() == 1 and kept.where("id = '003'").count() == 0 and kept.count() == 9
-
-
 def test_hash_zones_equal_sorting(spark):
     rows = [(i % 3 == 0, hashlib.md5(str(i).encode()).hexdigest()) for i in range(3000)]
     df = spark.createDataFrame([(int(a), h) for a, h in rows], "label int, h string")
-    cuts = spark.createDataFrame([(0, [700, 1500]), (1, [10, 999])], "label int, cuts array<bigint>")
+    cuts = lambda sizes: {0: [700, 1500], 1: [10, 999]}
     for digits in (1, 3):
         got = {r["h"]: r["zone"] for r in O.hash_zones(df, "label", "h", cuts, digits=digits).collect()}
         for label, limits in ((0, [700, 1500]), (1, [10, 999])):

@@ -76,6 +76,30 @@ def _verified_json(spark, folder):
     return R.read_verified_json(spark, path, lines=True)
 
 
+def _json_arrays(spark, folder, path):
+    """The verified feed as files of one JSON array each, for a thousand pages at most."""
+    rows = _verified_rows(spark, folder)
+    page = F.substring_index("phish_id", "-", 1).cast("bigint")
+    arrays = rows.groupBy(F.floor(page / 1000).alias("part")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
+@query("src_02_verified_json_array", with_views(f"WITH {FEED} SELECT {_VERIFIED_COLS} FROM f WHERE verified = 'yes' AND domain <> ''", "v_feed"))
+def _verified_json_array(spark, folder):
+    """The form of one array in a file; only the exact word counts here."""
+    path = new_folder(spark, "src02")
+    _json_arrays(spark, folder, path)
+    return R.read_verified_json(spark, path)
+
+
+@query("src_06_local_dump_json", with_views(f"WITH {FEED} SELECT {_VERIFIED_COLS} FROM f WHERE domain <> ''", "v_feed"))
+def _local_dump_json(spark, folder):
+    """The JSON dump, where there is no CSV one."""
+    path = new_folder(spark, "src06")
+    _json_arrays(spark, folder, path)
+    return R.read_local_dump(spark, path + "-none", path)
+
+
 @query("src_03_url_lines", with_views(
     f"WITH {FEED} SELECT " + _COLS.format(src="'openphish'", fid="''", vt="''", tgt="''") + " FROM f WHERE domain <> ''", "v_feed"))
 def _url_lines(spark, folder):
@@ -130,6 +154,18 @@ def _curated(spark, folder):
     return R.curated_malicious_rows(entries).select(*cols).unionByName(R.curated_legitimate_rows(entries).select(*cols))
 
 
+@query("src_07_curated_documents", with_views(f"""WITH {FEED}
+  SELECT u AS url, CASE WHEN domain = '' THEN 'unknown' ELSE domain END AS domain, 'curated' AS source, 1 AS label FROM f WHERE u <> ''""", "v_feed"))
+def _curated_documents(spark, folder):
+    """One document in a file, written over several lines."""
+    path = new_folder(spark, "src07")
+    entry = F.struct(F.col("page_id").alias("id"), "url", F.col("target").alias("domain"), "target", F.lit("c").alias("category"))
+    documents = _feed(spark, folder).groupBy(F.floor(F.col("page_id") / 500).alias("part")).agg(F.collect_list(entry).alias("urls"))
+    whole = F.struct(F.struct(F.lit("s").alias("source")).alias("metadata"), "urls")
+    documents.select(F.to_json(whole, {"pretty": "true"}).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return R.curated_malicious_rows(R.read_curated(spark, path)).select("url", "domain", "source", "label")
+
+
 _RANK = "r AS (SELECT try_cast(trim(rank_text) AS INT) AS rank, lower(trim(domain)) AS domain FROM v_ranked)"
 
 
@@ -295,6 +331,11 @@ def _write_feed(spark, folder):
        + ", " + ", ".join(f'{"NULL" if c == "domainAgeDays" else "0.0"}::DOUBLE AS "{c}"' for c in rules.OSINT_FEATURES)
        + ", CAST(page_id % 2 AS INT) AS label FROM feats2 WHERE page_id % 5 <> 0"))
 def _write_features(spark, folder):
+    return R.read_features(spark, _features_written(spark, folder)[0])
+
+
+def _features_written(spark, folder):
+    """Paths of the feature file and of the rejected rows, and the counters of the write."""
     from ..operators.urls import url_features
     path, rejected = new_folder(spark, "snk02"), new_folder(spark, "snk02-rejected")
     rows = url_features(view(spark, folder, "v_url")).withColumn(
@@ -303,5 +344,19 @@ def _write_features(spark, folder):
         **{n: F.lit(None).cast("boolean") for n in ("hasWhois", "hasDns", "hasReputation", "recentlyRegistered", "isPrivacyProtected", "knownMalicious")},
         **{n: F.lit(None).cast("int") for n in ("domainAgeDays", "maliciousCount", *[f"n{t}" for t in rules.DNS_TYPES])},
         "aggregateScore": F.lit(None).cast("double"), "hasValidMx": F.lit(None).cast("boolean"), "usesCdn": F.lit(None).cast("boolean")}))
-    sinks.write_features(full, path, rejected, rules.ALL_FEATURES)
-    return R.read_features(spark, path)
+    return path, rejected, sinks.write_features(full, path, rejected, rules.ALL_FEATURES)
+
+
+@query("snk_02_rejected", from_urls('SELECT page_id, url, \'bad\' AS label, \'bad label\' AS "rejectReason", CAST("urlLength" AS BIGINT) AS "urlLength" FROM feats2 WHERE page_id % 5 = 0'))
+def _rejected(spark, folder):
+    """The table of rejected rows, read back."""
+    rows = spark.read.parquet(_features_written(spark, folder)[1])
+    return rows.select("page_id", "url", "label", "rejectReason", F.col("urlLength").cast("bigint").alias("urlLength"))
+
+
+@query("agg_14_counters_of_write", with_views("""SELECT count(*) FILTER (WHERE page_id % 5 <> 0) AS ok, count(*) FILTER (WHERE page_id % 5 = 0) AS errors,
+   true AS "columnsComplete" FROM v_url""", "v_url"))
+def _counters_of_write(spark, folder):
+    """Counters that the write itself has observed."""
+    counters = _features_written(spark, folder)[2]
+    return spark.createDataFrame([(counters["ok"], counters["errors"], counters["columnsComplete"])], "ok bigint, errors bigint, columnsComplete boolean")

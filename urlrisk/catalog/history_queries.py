@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import history as H, report, score as S, urls
+from ..operators import history as H, history_table as HT, report, score as S, urls
 from ..session import new_folder
 from ..sources import sinks
 from .registry import query
@@ -52,9 +52,46 @@ def _get(spark, folder):
     return _shown(H.get(_hist(spark, folder), "77"))
 
 
-@query("his_04_delete", with_views(f"SELECT {_SHOWN} FROM v_hist WHERE id <> '77'", "v_hist"))
+def _stored(spark, folder):
+    """The history as a stored table, appended in two parts."""
+    root = new_folder(spark, "history")
+    rows = _hist(spark, folder).select("id", "content", "contentType", "threatLevel", "score", "isPhishing", F.col("analyzedAt").cast("timestamp").alias("analyzedAt"),
+                                       F.lit("{}").alias("response"), F.to_date("analyzedAt").alias("date"))
+    for part in range(2):
+        HT.append(rows.where(F.pmod(F.xxhash64("id"), F.lit(2)) == part), root, f"part-{part}")
+    return root
+
+
+@query("his_04_delete", with_views(f"SELECT {_SHOWN} FROM v_hist WHERE id IS DISTINCT FROM '77'", "v_hist"))
 def _delete(spark, folder):
-    return _shown(H.delete(_hist(spark, folder), "77"))
+    """The stored table read back after the deletion."""
+    root = _stored(spark, folder)
+    HT.delete_entry(spark, root, "77")
+    return _shown(HT.read(spark, root))
+
+
+@query("his_02_page", with_views(f"SELECT {_SHOWN} FROM v_hist {_NEWEST} LIMIT 40 OFFSET (SELECT count(*) // 2 FROM v_hist)", "v_hist"))
+def _page(spark, folder):
+    """A page from the middle of the stored table."""
+    root = _stored(spark, folder)
+    return _shown(HT.page(spark, root, 40, HT.total(spark, root) // 2, fine=100))
+
+
+@query("his_02_page_after", with_views(f"""SELECT {_SHOWN} FROM (SELECT *, row_number() OVER ({_NEWEST}) AS place FROM v_hist) AS h
+   WHERE place > (SELECT place FROM (SELECT id, row_number() OVER ({_NEWEST}) AS place FROM v_hist) AS p WHERE id = '77') {_NEWEST} LIMIT 30""", "v_hist"))
+def _page_after(spark, folder):
+    """The page after a row that is known by its time and id."""
+    rows = HT.read(spark, _stored(spark, folder))
+    last = H.get(rows, "77").select("analyzedAt", "id").first()
+    return _shown(HT.page_after(rows, 30, last["analyzedAt"], last["id"]))
+
+
+@query("his_06_expire_stored", with_views(f"SELECT {_SHOWN} FROM v_hist WHERE analyzedAt >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAYS", "v_hist"))
+def _expire_stored(spark, folder):
+    """The stored table read back after older rows have gone."""
+    root = _stored(spark, folder)
+    HT.expire(spark, root, 14, AS_OF)
+    return _shown(HT.read(spark, root))
 
 
 @query("his_05_keep_newest", with_views(f"SELECT {_SHOWN} FROM v_hist {_NEWEST} LIMIT 100", "v_hist"))
@@ -179,19 +216,24 @@ def _history_json(spark, folder):
     return spark.read.schema(schema).json(path).withColumn("score", F.round("score", 6))
 
 
-@query("snk_06_batch_csv", with_views("""SELECT content AS "URL", status AS "Status", threatLevel AS "Threat Level", printf('%.3f', score) AS "Confidence",
-   isPhishing AS "Is Phishing", printf('%.0f', score * 1000) AS "Analysis Time (ms)" FROM v_hist WHERE status = 'done'""", "v_hist"))
+@query("snk_06_batch_csv", with_views("""SELECT '"' || replace(content, '"', '""') || '",' || status || ',' || threatLevel || ',' || printf('%.3f', score)
+   || ',' || isPhishing || ',' || printf('%.0f', score * 1000) AS line FROM v_hist WHERE status = 'done' AND contains(content, '"')
+   UNION ALL SELECT content || ',' || status || ',' || threatLevel || ',' || printf('%.3f', score) || ',' || isPhishing || ',' || printf('%.0f', score * 1000)
+   FROM v_hist WHERE status = 'done' AND NOT contains(content, '"')""", "v_hist"))
 def _batch_csv(spark, folder):
+    """The written file, read back line by line without its headings."""
+    path = new_folder(spark, "snk06")
     rows = _hist(spark, folder).withColumns({"url": F.col("content"), "confidenceScore": F.col("score"), "analysisTime": F.col("score") * 1000})
-    return sinks.batch_export(rows)
+    sinks.write_batch_csv(rows, path)
+    return spark.read.text(path).where("NOT startswith(value, 'URL,')").select(F.col("value").alias("line"))
 
 
-@query("snk_06_batch_json", with_views("""SELECT content AS url, threatLevel AS "threatLevel", round(score, 6) AS "confidenceScore", isPhishing AS "isPhishing"
-   FROM v_hist WHERE status = 'done'""", "v_hist"))
+@query("snk_06_batch_json", with_views("""SELECT content AS url, threatLevel AS "threatLevel", round(score, 6) AS "confidenceScore", isPhishing AS "isPhishing",
+   threatLevel || '|' || contentType AS reasons FROM v_hist WHERE status = 'done'""", "v_hist"))
 def _batch_json(spark, folder):
     path = new_folder(spark, "snk06")
     rows = _hist(spark, folder).withColumns({"url": F.col("content"), "confidenceScore": F.col("score"),
-                                             "analysisTime": F.col("score") * 1000, "reasons": F.array("threatLevel")})
+                                             "analysisTime": F.col("score") * 1000, "reasons": F.array("threatLevel", "contentType")})
     sinks.write_batch_json(rows, path)
-    table = spark.read.schema("url string, threatLevel string, confidenceScore double, isPhishing boolean").json(path)
-    return table.withColumn("confidenceScore", F.round("confidenceScore", 6))
+    table = spark.read.schema("url string, threatLevel string, confidenceScore double, isPhishing boolean, reasons array<string>").json(path)
+    return table.withColumns({"confidenceScore": F.round("confidenceScore", 6), "reasons": F.array_join("reasons", "|")})

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dataset as D, evaluate as V, model as M
+from ..operators import dataset as D, evaluate as V, model as M, search as P
 from ..session import new_folder
-from .dataset_queries import prepared
+from .dataset_queries import PREPARED, _F, prepared
 from .registry import query
 from .views import view, with_views
 
 # The most rounds and levels that the search may draw; validation rows end the rounds.
-_FULL = {name: high for name, _, high, _ in M.SEARCH_SPACE if name in ("maxIter", "maxDepth")}
+_FULL = {name: high for name, _, high, _ in P.SPACE if name in ("maxIter", "maxDepth")}
 
 
 def _parts(spark, folder):
@@ -30,13 +30,14 @@ def _train(spark, folder):
 @query("ml_02_search")
 def _search(spark, folder):
     train, _, _, names = _parts(spark, folder)
-    return M.search(train, names, "row_key")[1].select("trial", "meanAuc", "stdAuc")
+    return P.search(train, names, "row_key").select("trial", "meanAuc", "stdAuc")
 
 
 @query("ml_03_best_trial")
 def _best(spark, folder):
+    """Reads the trials of ``ml_02_search`` where they are stored already."""
     train, _, _, names = _parts(spark, folder)
-    return M.best_trial(M.search(train, names, "row_key")[1]).select("trial", "meanAuc")
+    return P.best_trial(P.search(train, names, "row_key")).select("trial", "meanAuc")
 
 
 @query("ml_04_predict")
@@ -87,6 +88,39 @@ def _save(spark, folder):
     return M.predict(test, M.load(path)).groupBy("prediction").agg(F.count("*").alias("n"))
 
 
+@query("snk_07_artefacts", with_views(f"""WITH {PREPARED} SELECT 'rows with equal scores' AS part, count(*) AS n FROM sp WHERE split = 'test'
+   UNION ALL SELECT 'trials', 50 UNION ALL SELECT 'features', {len(_F)}""", "v_feat"))
+def _artefacts(spark, folder):
+    """Model, metadata and trial history written as one set; the set read back."""
+    train, val, test, names = _parts(spark, folder)
+    model, trials, root = M.train(train, val, names, **_FULL), P.search(train, names, "row_key"), new_folder(spark, "snk07-set")
+    M.save_set(model, root, metadata=M.importances(train, model), trials=trials)
+    loaded, tables = M.load_set(spark, root, ["metadata", "trials"])
+    own = M.predict(test, model).select("row_key", F.col("score").alias("own"))
+    equal = M.predict(test, loaded).join(own, "row_key").agg(F.lit("rows with equal scores").alias("part"), F.count_if(F.col("score") == F.col("own")).alias("n"))
+    count = lambda name, label: tables[name].agg(F.lit(label).alias("part"), F.count("*").alias("n"))
+    return equal.unionByName(count("trials", "trials")).unionByName(count("metadata", "features"))
+
+
+@query("ml_02_trials_in_range", with_views("SELECT i::INT AS trial, true AS \"inRange\", 5 AS folds FROM range(50) t(i) WHERE (SELECT count(*) FROM v_feat) > 0", "v_feat"))
+def _trials_in_range(spark, folder):
+    """Every trial of the stored search: parameters within their ranges, an area between 0 and 1, and all its folds."""
+    train, _, _, names = _parts(spark, folder)
+    value = lambda name: F.col("params")[name]
+    inside = F.col("meanAuc").between(0, 1)
+    for name, low, high, _ in P.SPACE:
+        inside = inside & value(name).between(low * (1 - 1e-9), high * (1 + 1e-9))
+    return P.search(train, names, "row_key").select("trial", inside.alias("inRange"), F.size("rounds").alias("folds"))
+
+
+@query("ml_04_predict_checked", with_views(f"""WITH {PREPARED} SELECT row_key, true AS "inRange", true AS agrees FROM sp WHERE split = 'test'""", "v_feat"))
+def _predict_checked(spark, folder):
+    """One prediction for every row of the test split, with a probability and the class that goes with it."""
+    train, val, test, names = _parts(spark, folder)
+    rows = M.predict(test, M.train(train, val, names, **_FULL))
+    return rows.select("row_key", F.col("score").between(0, 1).alias("inRange"), (F.col("prediction") == (F.col("score") >= 0.5).cast("int")).alias("agrees"))
+
+
 @query("sco_05_model_score")
 def _model_score(spark, folder):
     """URL scores where a fitted model replaces the weighted blend."""

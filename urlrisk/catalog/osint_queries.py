@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..operators import enrich as E, urls
+from ..session import new_folder
+from ..sources import plugin
 from .registry import query
 from .url_queries import FEATURES, PARTS, _alt, _list
 from .views import AS_OF, view, with_views
@@ -62,6 +64,27 @@ def _whois_records(spark, folder):
         F.col("registrant.organization").alias("organization"))
 
 
+@query("ext_04_foreign_source", with_views(f"""WITH {WHOIS}
+  SELECT domain, status, registrar, CAST(cr AS TIMESTAMP) AS "creationDate", CAST(ex AS TIMESTAMP) AS "expirationDate",
+    ns AS "nameServers", contact AS "hasContact", organization FROM whois""", "v_whois"))
+def _foreign_source(spark, folder):
+    """WHOIS answers as text files, read by a source of another format."""
+    path = new_folder(spark, "ext04")
+    line = lambda field, value: F.when(value.isNotNull(), F.concat(F.lit(f"{field}: "), value, F.lit("\n")))
+    raw = view(spark, folder, "v_whois")
+    created = F.when(F.col("created").isNotNull(), F.concat(line("Creation Date", F.col("created")), F.lit("Creation Date: 1999-01-01\n")))
+    answer = F.concat_ws("", line("Query", F.col("domain")), line("Domain Name", F.col("domain_name")), line("Registrar", F.col("registrar")), created,
+                         line("Registry Expiry Date", F.col("expires")), line("Name Server", F.col("ns")), line("Registrant Name", F.col("name")),
+                         line("Registrant Organization", F.col("org")), line("Registrant Country", F.col("country")))
+    raw.select(answer.alias("value")).write.text(path)
+    plugin.register(spark, "whois_text", plugin.WhoisText)
+    records = E.whois_records(spark.read.format("whois_text").load(path if "://" in path else f"file://{path}"), AS_OF)
+    return records.select(
+        "domain", "status", "registrar", "creationDate", "expirationDate",
+        F.array_join("nameServers", ",").alias("nameServers"), F.col("registrant").isNotNull().alias("hasContact"),
+        F.col("registrant.organization").alias("organization"))
+
+
 @query("osi_04_whois_flags", with_views(f"""WITH {WHOIS}
   SELECT domain, age AS "domainAgeDays", coalesce(age < 30, false) AS "recentlyRegistered", short AS "shortLifespan",
     private AS "isPrivacyProtected" FROM whois""", "v_whois"))
@@ -91,6 +114,47 @@ def _dns_summary(spark, folder):
     return E.dns_summary(view(spark, folder, "v_dns")).drop("status")
 
 
+# Lookups with a time to live, and mail servers with a priority, some without.
+_DNS_FULL = """SELECT *, CAST(seq % 3600 AS INT) AS ttl, CASE WHEN rtype = 'MX' AND seq % 4 <> 0 THEN CAST(seq % 3 * 10 AS INT) END AS priority FROM v_dns"""
+
+
+@query("osi_05_dns_records", with_views(f"""WITH f AS ({_DNS_FULL}),
+  r AS (SELECT domain, rtype, value, CASE WHEN rtype = 'MX' THEN coalesce(priority, 0) END AS priority, max(ttl) AS ttl FROM f
+        WHERE coalesce(status, 'success') = 'success' AND value IS NOT NULL GROUP BY ALL)
+  SELECT * FROM r""", "v_dns"))
+def _dns_records(spark, folder):
+    return E.dns_records(_dns_full(spark, folder))
+
+
+def _dns_full(spark, folder):
+    rows = view(spark, folder, "v_dns")
+    priority = F.when((F.col("rtype") == "MX") & (F.col("seq") % 4 != 0), F.col("seq") % 3 * 10).cast("int")
+    return rows.withColumns({"ttl": (F.col("seq") % 3600).cast("int"), "priority": priority})
+
+
+@query("osi_05_dns_record_sets", with_views(f"""WITH f AS ({_DNS_FULL}),
+  r AS (SELECT domain, rtype, value, CASE WHEN rtype = 'MX' THEN coalesce(priority, 0) ELSE 0 END AS priority, max(ttl) AS ttl FROM f
+        WHERE coalesce(status, 'success') = 'success' AND value IS NOT NULL GROUP BY ALL),
+  o AS (SELECT *, row_number() OVER (PARTITION BY domain, rtype ORDER BY priority, value) AS place, count(*) OVER (PARTITION BY domain, rtype) AS n FROM r)
+  SELECT domain, rtype, any_value(n) AS "nRecords", string_agg(priority || ' ' || value || ' ' || ttl, ';' ORDER BY place) AS records FROM o WHERE place <= 3 GROUP BY domain, rtype""", "v_dns"))
+def _dns_record_sets(spark, folder):
+    shown = F.transform("records", lambda r: F.concat_ws(" ", r["priority"].cast("string"), r["value"], r["ttl"].cast("string")))
+    return E.dns_record_sets(_dns_full(spark, folder), 3).select("domain", "rtype", "nRecords", F.array_join(shown, ";").alias("records"))
+
+
+@query("joi_05_as_of_hot_bucket", with_views("""
+  WITH e AS (SELECT event_id, ts, CASE WHEN user_id % 3 = 0 THEN 'hot.com' ELSE 'd' || CAST(user_id % 50 AS STRING) || '.com' END AS domain FROM events),
+  s AS (SELECT seq, CASE WHEN seq % 3 = 1 THEN 'hot.com' ELSE domain END AS domain, observed_at FROM v_dns WHERE rtype = 'A')
+  SELECT e.event_id, e.domain, e.ts, s.seq, s.observed_at FROM e ASOF LEFT JOIN s ON e.domain = s.domain AND e.ts >= s.observed_at""", "v_dns"))
+def _as_of_hot(spark, folder):
+    """One key with a third of all rows, and buckets as wide as the table: its rows are dealt by ranges."""
+    from .views import table
+    events = table(spark, folder, "events").select("event_id", "ts", F.when(F.col("user_id") % 3 == 0, "hot.com").otherwise(
+        F.concat(F.lit("d"), (F.col("user_id") % 50).cast("string"), F.lit(".com"))).alias("domain"))
+    snaps = view(spark, folder, "v_dns").where("rtype = 'A'").select(F.when(F.col("seq") % 3 == 1, "hot.com").otherwise(F.col("domain")).alias("domain"), "observed_at", "seq")
+    return E.as_of_join(events, snaps, bucket="year", hot_rows=1000)
+
+
 @query("osi_06_dns_status", with_views(f"WITH {DNS} SELECT domain, status FROM dns", "v_dns"))
 def _dns_status(spark, folder):
     return E.dns_summary(view(spark, folder, "v_dns")).select("domain", "status")

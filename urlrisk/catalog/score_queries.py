@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..operators import content as C, enrich as E, score as S
 from ..plans import scoring
+from ..plans.analysers import word_analyser
 from . import osint_queries as O, text_queries as X, url_queries as Q
 from .registry import query
 from .url_queries import _lit
@@ -14,8 +15,7 @@ from .views import view, with_views
 
 # ------------------------------------------------------------------ messages
 _TRIMMED = f"trim(content, {X._WS})"
-_BARE = r"^[a-z0-9]([a-z0-9\-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9\-]*[a-z0-9])?)*\.[a-z]{2,}(/.*)?$"
-_BARE_ANY = r"^([a-zA-Z0-9]([a-zA-Z0-9\-]*[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}(/.*)?$"
+_BARE, _BARE_ANY = rules.BARE_DOMAIN, rules.BARE_DOMAIN_ANY_CASE
 SCORING_TYPE = f"""CASE WHEN regexp_matches(lower({_TRIMMED}), '^(https?://|www\\.)') OR regexp_matches(lower({_TRIMMED}), {_lit(_BARE)})
    THEN 'url' WHEN regexp_matches(lower(content), 'from:|subject:|to:') THEN 'email' ELSE 'text' END"""
 DOMAIN = f"""nullif(CASE
@@ -274,12 +274,12 @@ _VERDICT = f"""
 """
 
 
-def over_verdicts(body: str) -> str:
+def over_verdicts(body: str, text_parts=(X.TEXT_HITS, X.OTHER_HITS, X.ALL_HITS, X.TEXT_VERDICT)) -> str:
     """DuckDB text over all messages with their verdicts in ``ver``."""
     scores = SCORES.replace(" bad ELSE", " bad_1 ELSE")
     parts = [_CHECKED, Q.PARTS, _FEATS_ONLY, _REPLACE_FEATS, _URL_HITS, Q.STATS, O.BUNDLE,
              'j AS (SELECT st.*, b.* EXCLUDE (domain, bad), b.bad AS bad_1 FROM st LEFT JOIN bundle b ON st.domain = b.domain)',
-             scores, X.TEXT_HITS, X.OTHER_HITS, X.ALL_HITS, X.TEXT_VERDICT, _VERDICT]
+             scores, *text_parts, _VERDICT]
     return with_views("WITH " + ", ".join(parts) + " " + body, "v_msg", "v_whois", "v_dns", "v_rep")
 
 
@@ -357,3 +357,18 @@ def flat_verdicts(df):
 @query("sco_16_score_messages", over_verdicts(SCO_16))
 def score_all(spark, folder):
     return flat_verdicts(verdicts(spark, folder))
+
+
+_WORDS = {"act now": 0.9, "account": 0.5, "password": 0.8, "click": 0.4}
+_HELD = [f"CAST(kind IN ('email', 'text') AND contains(lower(content), '{w}') AS INT)" for w in _WORDS]
+_WORD_VERDICT = f"""
+  links AS (SELECT NULL::VARCHAR AS msg_id, NULL::VARCHAR AS link WHERE false),
+  tver AS MATERIALIZED (SELECT msg_id, n, CASE WHEN n > 0 THEN ['urgency_pressure'] ELSE []::VARCHAR[] END AS tl, least(n * 0.25::DOUBLE, 1.0::DOUBLE) AS conf,
+      CASE WHEN n > 0 THEN ['Holds ' || n || ' listed words'] ELSE []::VARCHAR[] END AS reasons FROM (SELECT msg_id, {" + ".join(_HELD)} AS n FROM routed))
+"""
+
+
+@query("ext_03_analyser", over_verdicts(SCO_16, (_WORD_VERDICT,)))
+def _own_analyser(spark, folder):
+    """Verdicts with another text analyser in place of the built-in one."""
+    return flat_verdicts(scoring.score_messages(X.messages(spark, folder), O.bundle(spark, folder), analyser=word_analyser(_WORDS)))

@@ -1,29 +1,24 @@
 """Ranks and running totals over whole tables without one big ordered task.
 
-A window without a partition sends a table through one task.  Here the order is
-cut into buckets that are part of it (day and minute of a time, leading digits of
-a score or hash).  Bucket totals are small and get the running sums; rows are
-ordered inside their bucket only.  Buckets are functions of the row, so a task
-that runs again gives the same result.
+A window without a partition sends a table through one task.  Here rows are dealt by
+ranges of their order, whose bounds Spark draws from the data, and sorted inside their
+range; equal rows go on by a hash of the row, so that a value which most rows share
+is cut as well.  The sorted rows are written once with the number of their range and
+their place in it.  Ranges are few, so running totals over them are one small task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..session import new_folder
 
-
-def _directions(levels: Sequence[str], descending: bool | Sequence[bool]) -> list[bool]:
-    return [descending] * len(levels) if isinstance(descending, bool) else list(descending)
-
-
-def _sort(name: str, descending: bool) -> Column:
-    return F.col(name).desc() if descending else F.col(name).asc()
-
+#: Bits of ``monotonically_increasing_id`` for the place inside a partition.
+PLACE_BITS = 33
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on equal keys, where null equals null: no row without a time, label or score is lost."""
@@ -32,48 +27,45 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
     return left.join(other, reduce(lambda a, b: a & b, same)).drop(*[f"_r_{k}" for k in keys])
 
 
-def bucket_offsets(df: DataFrame, levels: Sequence[str], values: dict[str, Column], within: Sequence[str] = (),
-                   descending: bool | Sequence[bool] = False) -> DataFrame:
-    """Per bucket, the sums over all earlier buckets of the same group.
+def in_ranges(df: DataFrame, order: Sequence[Column], partitions: int | None = None) -> DataFrame:
+    """The rows, stored in order: range ``_range`` (ascending) and ``_place`` in it (from 0).
 
-    ``levels`` go from coarse to fine, each in its own direction; ``within`` are
-    grouping columns.  Result: ``within``, ``levels`` and one ``before_<value>``
-    column per value.  Null is a bucket of its own, where it sorts.
+    Rows that are equal in ``order`` go on by a hash of the whole row and, if they are
+    equal in all columns, in any order.
     """
-    out = df.groupBy(*within, *levels).agg(*[F.sum(v).alias(f"_n_{k}") for k, v in values.items()])
-    names = list(values)
-    before = {k: F.lit(0) for k in names}
-    fine = out
-    for depth, down in enumerate(_directions(levels, descending)):
-        keys = [*within, *levels[:depth + 1]]
-        totals = fine.groupBy(*keys).agg(*[F.sum(f"_n_{k}").alias(f"_t_{k}") for k in names])
-        # Coarse totals are few; finer ones are ordered inside their coarse bucket.
-        w = (Window.partitionBy(*within, *levels[:depth]).orderBy(_sort(levels[depth], down))
-             .rowsBetween(Window.unboundedPreceding, -1))
-        sums = totals.select(*keys, *[F.coalesce(F.sum(f"_t_{k}").over(w), F.lit(0)).alias(f"_b{depth}_{k}")
-                                      for k in names])
-        out = null_safe_join(out, sums, keys)
-        before = {k: before[k] + F.col(f"_b{depth}_{k}") for k in names}
-    return out.select(*within, *levels, *[before[k].alias(f"before_{k}") for k in names])
-
-
-def row_numbers(df: DataFrame, levels: Sequence[str], order: Sequence[Column], name: str, within: Sequence[str] = (),
-                descending: bool | Sequence[bool] = False) -> DataFrame:
-    """Number all rows (from 1) in the order of ``levels``, then ``order``; as many rows out as in."""
-    keys = [*within, *levels]
-    offsets = bucket_offsets(df, levels, {"rows": F.lit(1)}, within, descending)
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return (null_safe_join(df.withColumn("_inside", inside), offsets, keys)
-            .withColumn(name, F.col("before_rows") + F.col("_inside")).drop("_inside", "before_rows"))
-
-
-def running_sums(df: DataFrame, levels: Sequence[str], key: str, values: Sequence[str], descending: bool = False) -> DataFrame:
-    """Running sums ``cum_<value>`` over a table with one row per ``key``, in key order."""
-    offsets = bucket_offsets(df, levels, {v: F.col(v) for v in values}, (), descending)
-    w = (Window.partitionBy(*levels).orderBy(_sort(key, descending)).rowsBetween(Window.unboundedPreceding, 0))
-    out = null_safe_join(df.withColumns({f"_in_{v}": F.sum(v).over(w) for v in values}), offsets, levels)
-    return (out.withColumns({f"cum_{v}": F.col(f"before_{v}") + F.col(f"_in_{v}") for v in values})
-            .drop(*[f"_in_{v}" for v in values], *[f"before_{v}" for v in values]))
+    keyed = df.withColumns({"_tie": F.xxhash64(*df.columns), "_any": F.rand(7)})
+    keys = [*order, F.col("_tie"), F.col("_any")]
+    dealt = keyed.repartitionByRange(partitions, *keys) if partitions else keyed.repartitionByRange(*keys)
+    at = F.monotonically_increasing_id()
+    rows = dealt.sortWithinPartitions(*keys).drop("_tie", "_any").withColumn("_at", at)
+    path = new_folder(df.sparkSession, "ranges")
+    rows.write.parquet(path)
+    stored = df.sparkSession.read.schema(rows.schema).parquet(path)
+    return stored.withColumns({"_range": F.shiftright("_at", PLACE_BITS).cast("int"), "_place": F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))}).drop("_at")
+
+
+def before_ranges(ranged: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Per range the sums over all ranges before it: ``_range`` and ``before_<value>``; one row for each range."""
+    sums = ranged.groupBy("_range").agg(*[F.sum(v).alias(k) for k, v in values.items()])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("_range", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"before_{k}") for k in values])
+
+
+def row_numbers(df: DataFrame, order: Sequence[Column], name: str, partitions: int | None = None) -> DataFrame:
+    """Number all rows (from 1) in an order; as many rows out as in."""
+    ranged = in_ranges(df, order, partitions)
+    offsets = before_ranges(ranged, {"rows": F.lit(1)})
+    return ranged.join(offsets, "_range").withColumn(name, F.col("before_rows") + F.col("_place") + 1).drop("_range", "_place", "before_rows")
+
+
+def running_sums(df: DataFrame, order: Sequence[Column], values: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Running sums ``cum_<value>`` over all rows in an order."""
+    ranged = in_ranges(df, order, partitions)
+    offsets = before_ranges(ranged, {v: F.col(v) for v in values})
+    upto = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.withColumns({f"_in_{v}": F.sum(v).over(upto) for v in values})
+    return (inside.join(offsets, "_range").withColumns({f"cum_{v}": F.col(f"before_{v}") + F.col(f"_in_{v}") for v in values})
+            .drop("_range", "_place", *[f"_in_{v}" for v in values], *[f"before_{v}" for v in values]))
 
 
 def cut_keys(df: DataFrame, group: str, key: str, cuts: DataFrame, digits: int = 3) -> list[tuple[object, int, str]]:
@@ -103,25 +95,28 @@ def cut_keys(df: DataFrame, group: str, key: str, cuts: DataFrame, digits: int =
     return [(r[group], r["_rank"], r["_key"]) for r in ranked.where("_no = _left").select(group, "_rank", "_key").collect()]
 
 
-def hash_zones(df: DataFrame, group: str, key: str, cuts: DataFrame, name: str = "zone", digits: int = 3, most_groups: int = 1000) -> DataFrame:
+def hash_zones(df: DataFrame, group: str, key: str, cuts: Callable[[dict], dict], name: str = "zone", digits: int = 3, most_groups: int = 1000) -> DataFrame:
     """Cut each group at exact ranks of a hash key: ``name`` is how many cuts lie before the row.
 
-    ``key`` is a hexadecimal hash that is unique in its group; ``cuts`` has
-    ``group`` (class labels, ``most_groups`` at most; null is a class) and ``cuts``
-    (array of ranks, a few per group).  The rows are stored once; then the keys at
-    the cuts are looked up and rows compare their own key with them, without a join.
+    ``key`` is a hexadecimal hash that is unique in its group (class labels,
+    ``most_groups`` at most; null is a class); ``cuts`` turns the rows of each group
+    into its ranks (a few per group).  The rows are stored once and counted there; then
+    the keys at the cuts are looked up and rows compare their own key with them, without
+    a join.
     """
     path = new_folder(df.sparkSession, "zones")
     df.write.parquet(path)
     df = df.sparkSession.read.schema(df.schema).parquet(path)
-    ranks = cuts.limit(most_groups + 1).collect()
-    if len(ranks) > most_groups:
+    counted = df.groupBy(group).agg(F.count("*").alias("n")).limit(most_groups + 1).collect()
+    if len(counted) > most_groups:
         raise ValueError(f"more than {most_groups} groups in {group}")
-    at = {(g, rank): found for g, rank, found in cut_keys(df, group, key, cuts, digits)}
+    ranks = cuts({r[group]: r["n"] for r in counted})
+    wanted = df.sparkSession.createDataFrame([(g, list(cut)) for g, cut in ranks.items()], df.select(group).schema.add("cuts", ArrayType(LongType())))
+    at = {(g, rank): found for g, rank, found in cut_keys(df, group, key, wanted, digits)} if ranks else {}
     zone = F.lit(0)
-    for row in ranks:
+    for value, cut in ranks.items():
         # A cut at 0 lies before all rows, one behind the last row before none.
-        keys = [at.get((row[group], rank), "" if rank <= 0 else "\uffff") for rank in row["cuts"]]
+        keys = [at.get((value, rank), "" if rank <= 0 else "\uffff") for rank in cut]
         passed = reduce(lambda a, b: a + b, [(F.col(key) > k).cast("int") for k in keys])
-        zone = F.when(F.col(group).eqNullSafe(F.lit(row[group])), passed).otherwise(zone)
+        zone = F.when(F.col(group).eqNullSafe(F.lit(value)), passed).otherwise(zone)
     return df.withColumn(name, zone)

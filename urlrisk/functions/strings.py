@@ -64,3 +64,8 @@ def round_half_up(col: Column, places: int) -> Column:
 def present(items: Iterable[Column]) -> Column:
     """Array of the items that are not null, in order."""
     return F.filter(F.array(*items), lambda x: x.isNotNull())
+
+
+def first_items(items: Column, most: int | None) -> Column:
+    """The first ``most`` items of an array; all for ``None``."""
+    return items if most is None else F.slice(items, 1, most)

@@ -4,16 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .. import rules
 from ..functions.strings import strip
 
-TYPES = ("auto", "url", "email", "text")
-_HEADERS = ("from:", "subject:", "to:")
-_BARE_DOMAIN = r"^[a-z0-9]([a-z0-9\-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9\-]*[a-z0-9])?)*\.[a-z]{2,}(/.*)?$"
-_BARE_DOMAIN_ANY_CASE = r"^([a-zA-Z0-9]([a-zA-Z0-9\-]*[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}(/.*)?$"
-_ADDRESS = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
-_LINK_IN_TEXT = r"https?://(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}"
-_ADDRESS_DOMAIN = r"@([a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+)"
-
 
 def compose_email(content: Column, subject: Column, sender: Column) -> Column:
     """Body with a subject line and a sender line in front, each only if given."""
@@ -26,7 +19,7 @@ def add_request_error(df: DataFrame, content: str = "content", kind: str = "cont
     """Trim the content and add ``requestError`` (null for a valid request)."""
     text = F.coalesce(strip(F.col(content)), F.lit(""))
     error = (F.when(text == "", "Content cannot be empty")
-             .when(~F.coalesce(F.col(kind).isin(*TYPES), F.lit(False)), "Unknown content type"))
+             .when(~F.coalesce(F.col(kind).isin(*rules.CONTENT_TYPES), F.lit(False)), "Unknown content type"))
     return df.withColumns({content: text, "requestError": error})
 
 
@@ -38,7 +31,7 @@ def split_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _has_header(low: Column) -> Column:
-    return low.rlike("|".join(_HEADERS))
+    return low.rlike("|".join(rules.HEADERS))
 
 
 def _web_prefix(text: Column) -> Column:
@@ -48,7 +41,7 @@ def _web_prefix(text: Column) -> Column:
 def scoring_type(content: Column) -> Column:
     """Type for the scoring path: web prefix or bare domain, then mail headers, else text."""
     low = strip(F.lower(content))
-    return (F.when(_web_prefix(low) | low.rlike("(?d)" + _BARE_DOMAIN), "url")
+    return (F.when(_web_prefix(low) | low.rlike("(?d)" + rules.BARE_DOMAIN), "url")
             .when(_has_header(low), "email").otherwise("text"))
 
 
@@ -56,7 +49,7 @@ def text_type(content: Column) -> Column:
     """Type for the text path: a lone web address, a lone mail address, mail headers, else text."""
     low = strip(F.lower(content))
     return (F.when(_web_prefix(low) & ~content.contains(" "), "url")
-            .when(strip(content).rlike(_ADDRESS) | _has_header(low), "email").otherwise("text"))
+            .when(strip(content).rlike(rules.ADDRESS) | _has_header(low), "email").otherwise("text"))
 
 
 def enrichment_domain(content: Column) -> Column:
@@ -70,10 +63,10 @@ def enrichment_domain(content: Column) -> Column:
     location = F.lower(F.regexp_extract(F.translate(full, "\t\r\n", ""), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1))
     no_www = lambda c: F.replace(c, F.lit("www."), F.lit(""))
     broken = location.contains("[") != location.contains("]")
-    link = F.regexp_extract(content, _LINK_IN_TEXT, 0)
-    address = F.regexp_extract(content, _ADDRESS_DOMAIN, 1)
+    link = F.regexp_extract(content, rules.LINK_IN_TEXT, 0)
+    address = F.regexp_extract(content, rules.ADDRESS_DOMAIN, 1)
     found = (F.when(_web_prefix(text), F.when(~broken, no_www(location)))
-             .when(text.rlike("(?d)" + _BARE_DOMAIN_ANY_CASE), F.lower(F.substring_index(text, "/", 1)))
+             .when(text.rlike("(?d)" + rules.BARE_DOMAIN_ANY_CASE), F.lower(F.substring_index(text, "/", 1)))
              .when(link != "", no_www(F.lower(F.regexp_extract(link, "^https?://(.*)$", 1))))
              .when(address != "", F.lower(address)))
     return F.when(found != "", found)

@@ -70,29 +70,51 @@ def clipped_count(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> Data
     return df.agg(outside.alias("clipped"))
 
 
-def exact_medians(df: DataFrame, names: Sequence[str], accuracy: int = 10_000) -> DataFrame:
+def exact_medians(df: DataFrame, names: Sequence[str], accuracy: int = 10_000, most: int = 100_000) -> DataFrame:
     """Exact medians (column, median) without sorting the table.
 
-    An approximate percentile has a guaranteed rank error, so two of them bracket
-    the median; exact counts below the bracket and of the few values inside give
-    the middle value.  A plain ``median`` would keep every distinct value of a
-    column in one task.
+    An approximate percentile has a guaranteed rank error, so two of them bracket the
+    two middle values; exact counts say how many values lie below the bracket and in it.
+    While a bracket holds more than ``most`` values, the next pass draws a narrower one
+    from the values inside, for all columns at once.  What is left is ordered, or is one
+    value that repeats.
     """
     slack = 2.0 / accuracy
-    got = _profile(df, {f"q_{n}": F.percentile_approx(n, [0.5 - slack, 0.5 + slack], accuracy) for n in names})
-    bracket = {n: got[f"q_{n}"] for n in names if got[f"q_{n}"]}
-    below = _profile(df, {**{f"l_{n}": F.count_if(F.col(n) < lo) for n, (lo, _) in bracket.items()},
-                          **{f"c_{n}": F.count(n) for n in bracket}})
-    if not bracket:
+    total = _profile(df, {n: F.count(n) for n in names})
+    # Column -> lowest and highest value of the bracket, values below it, values inside it.
+    inside = {n: (None, None, 0, total[n]) for n in names if total[n]}
+
+    def held(n: str) -> Column:
+        low, high, _, _ = inside[n]
+        return F.col(n).isNotNull() if low is None else F.col(n).between(low, high)
+
+    wide = list(inside)
+    while wide:
+        wanted = {}
+        for n in wide:
+            _, _, below, size = inside[n]
+            middle = [((total[n] + 1) // 2 - below) / size, (total[n] // 2 + 1 - below) / size]
+            shares = [max(0.0, middle[0] - slack), min(1.0, middle[1] + slack)]
+            wanted[n] = F.percentile_approx(F.when(held(n), F.col(n)), shares, accuracy)
+        drawn = _profile(df, wanted)
+        ends = {n: (drawn[n][0], drawn[n][1]) for n in wide}
+        counts = _profile(df, {**{f"l_{n}": F.count_if(F.col(n) < low) for n, (low, _) in ends.items()},
+                               **{f"i_{n}": F.count_if(F.col(n).between(low, high)) for n, (low, high) in ends.items()}})
+        before, still = {n: inside[n][3] for n in wide}, []
+        for n, (low, high) in ends.items():
+            inside[n] = low, high, counts[f"l_{n}"], counts[f"i_{n}"]
+            if most < inside[n][3] < before[n] and low < high:
+                still.append(n)
+        wide = still
+    if not inside:
         return df.sparkSession.createDataFrame([], "column string, median double")
-    item = lambda n, lo, hi: F.when(F.col(n).between(lo, hi), F.struct(
-        F.lit(n).alias("column"), F.col(n).cast("double").alias("value"),
-        F.lit(below[f"l_{n}"]).alias("below"), F.lit(below[f"c_{n}"]).alias("n")))
-    inside = (df.select(F.explode(F.array(*[item(n, lo, hi) for n, (lo, hi) in bracket.items()])).alias("i"))
+    item = lambda n: F.when(held(n), F.struct(F.lit(n).alias("column"), F.col(n).cast("double").alias("value"),
+                                              F.lit(inside[n][2]).alias("below"), F.lit(total[n]).alias("n")))
+    values = (df.select(F.explode(F.array(*[item(n) for n in inside])).alias("i"))
               .where(F.col("i").isNotNull()).select("i.*")
               .groupBy("column", "below", "n", "value").agg(F.count("*").alias("k")))
     w = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    upto = inside.withColumn("upto", F.col("below") + F.sum("k").over(w))
+    upto = values.withColumn("upto", F.col("below") + F.sum("k").over(w))
     # Ranks (from 1) of the two middle values.
     low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     return upto.groupBy("column").agg(
@@ -116,10 +138,9 @@ def _seeded(seed: int) -> Column:
 
 def balance(df: DataFrame, seed: int = 42) -> DataFrame:
     """Cut the larger class to the size of the smaller one, exactly."""
-    counts = df.groupBy(LABEL).agg(F.count("*").alias("n"))
-    cuts = counts.select(LABEL, F.array(counts.agg(F.min("n")).scalar()).alias("cuts"))
+    least = lambda rows: {label: [min(rows.values())] for label in rows}
     keyed = df.withColumn("_h", _seeded(seed))
-    return hash_zones(keyed, LABEL, "_h", cuts, "_zone").where(F.col("_zone") == 0).drop("_zone", "_h")
+    return hash_zones(keyed, LABEL, "_h", least, "_zone").where(F.col("_zone") == 0).drop("_zone", "_h")
 
 
 def shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
@@ -132,9 +153,7 @@ SPLITS = ("train", "val", "test")
 
 def split(df: DataFrame, seed: int = 42, train: int = 70, val: int = 15) -> DataFrame:
     """Add ``split``: per class, the first ``train`` per cent in hash order, then ``val``, then test."""
-    counts = df.groupBy(LABEL).agg(F.count("*").alias("n"))
-    at = lambda percent: F.floor(F.col("n") * percent / 100)
-    cuts = counts.select(LABEL, F.array(at(train), at(train + val)).alias("cuts"))
+    cuts = lambda rows: {label: [n * train // 100, n * (train + val) // 100] for label, n in rows.items()}
     keyed = df.withColumn("_h", _seeded(seed + 1))
     names = F.array(*[F.lit(s) for s in SPLITS])
     return hash_zones(keyed, LABEL, "_h", cuts, "_zone").withColumn(

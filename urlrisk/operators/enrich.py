@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import rules
+from ..functions.ordering import in_ranges
 from ..functions.strings import contains_any, strip, strip_chars
 
 
@@ -126,6 +127,35 @@ def dns_summary(records: DataFrame) -> DataFrame:
         ((F.col("nA") + F.col("nAAAA")) > 0).alias("hasIpAddresses"))
 
 
+def dns_records(records: DataFrame) -> DataFrame:
+    """Successful records in long form: domain, rtype, value, ttl, and the priority of MX records (0 where none is given).
+
+    ``records`` as for ``dns_summary``, with ``ttl`` and ``priority``.  Equal records count
+    once, with their longest ttl.
+    """
+    ok = (F.coalesce(F.col("status"), F.lit("success")) == "success") & F.col("value").isNotNull()
+    priority = F.when(F.col("rtype") == "MX", F.coalesce(F.col("priority"), F.lit(0))).cast("int")
+    return (records.where(ok & F.col("rtype").isin(*rules.DNS_TYPES))
+            .groupBy("domain", "rtype", "value", priority.alias("priority")).agg(F.max("ttl").cast("int").alias("ttl")))
+
+
+def dns_record_sets(records: DataFrame, most: int | None = 100) -> DataFrame:
+    """One row per domain and type: ``nRecords`` different records and an array of the first ``most``.
+
+    Mail servers come by priority, then all by value.  The bound keeps the row of a
+    domain with millions of records small; ``dns_records`` has all of them, and
+    ``None`` lifts the bound for tables where that is known to be small.
+    """
+    rows = dns_records(records)
+    counts = rows.groupBy("domain", "rtype").agg(F.count("*").alias("nRecords"))
+    if most is not None:
+        order = Window.partitionBy("domain", "rtype").orderBy(F.col("priority").asc_nulls_first(), "value")
+        rows = rows.withColumn("_no", F.row_number().over(order)).where(F.col("_no") <= most).drop("_no")
+    record = F.struct(F.coalesce("priority", F.lit(0)).alias("priority"), "value", "ttl")
+    sets = rows.groupBy("domain", "rtype").agg(F.array_sort(F.collect_list(record)).alias("records"))
+    return sets.join(counts, ["domain", "rtype"])
+
+
 def dns_record_count(count_cname: bool = False) -> Column:
     """Record count feature; the corpus form also counts CNAME records."""
     types = [t for t in rules.DNS_TYPES if count_cname or t != "CNAME"]
@@ -270,14 +300,21 @@ def enrich(df: DataFrame, bundle: DataFrame, key: str = "domain", row: str = "ms
     return spread_left_join(df, bundle, key, row)
 
 
+#: Rows of one (key, bucket) that one task orders; more are dealt by ranges.
+HOT_ROWS = 1 << 20
+
+
 def as_of_join(events: DataFrame, snapshots: DataFrame, key: str = "domain", event_id: str = "event_id",
-               event_at: str = "ts", seen_at: str = "observed_at", bucket: str = "hour") -> DataFrame:
+               event_at: str = "ts", seen_at: str = "observed_at", bucket: str = "hour", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Latest snapshot seen at or before each event.
 
     Time buckets split hot keys: each (key, bucket) is ordered on its own, and
     what held at the start of a bucket comes from a running maximum over one row
-    per (key, bucket).  No event meets more than one candidate row.  Events without a
-    key can have no snapshot; they are set aside, so that they don't meet in one task.
+    per (key, bucket).  No event meets more than one candidate row.  A (key, bucket) of
+    more than ``hot_rows`` rows is not ordered in one task: its rows are dealt by ranges
+    of their time, and what held at the end of a range is carried into the next.
+    Events without a key can have no snapshot; they are set aside, so that they don't
+    meet in one task.
     """
     keyless = events.where(F.col(key).isNull())
     events, snapshots = events.where(F.col(key).isNotNull()), snapshots.where(F.col(key).isNotNull())
@@ -285,11 +322,11 @@ def as_of_join(events: DataFrame, snapshots: DataFrame, key: str = "domain", eve
     s = snapshots.select(F.col(key).alias("_k"), F.col(seen_at).alias("_t"), F.struct(*values).alias("_v"))
     s = s.withColumn("_b", F.date_trunc(bucket, "_t"))
     e = events.withColumn("_b", F.date_trunc(bucket, F.col(event_at)))
-    last = s.groupBy("_k", "_b").agg(F.max_by("_v", F.struct("_t", "_v")).alias("_last"))
-    wanted = e.select(F.col(key).alias("_k"), "_b").distinct()
+    last = s.groupBy("_k", "_b").agg(F.max_by("_v", F.struct("_t", "_v")).alias("_last"), F.count("*").alias("_seen"))
+    wanted = e.groupBy(F.col(key).alias("_k"), "_b").agg(F.count("*").alias("_asked"))
     before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (wanted.join(last, ["_k", "_b"], "full_outer")
-               .withColumn("_carried", F.last("_last", ignorenulls=True).over(before))
+    buckets = wanted.join(last, ["_k", "_b"], "full_outer")
+    carried = (buckets.withColumn("_carried", F.last("_last", ignorenulls=True).over(before))
                .where(F.col("_carried").isNotNull()).select("_k", "_b", F.col("_carried").alias("_v")))
     # The carried row sorts first in its bucket, snapshots sort before events of the same instant.
     rows = (
@@ -299,10 +336,40 @@ def as_of_join(events: DataFrame, snapshots: DataFrame, key: str = "domain", eve
         .unionByName(carried.select("_k", "_b", F.col("_b").alias("_t"), F.lit(0).alias("_kind"), "_v"),
                      allowMissingColumns=True)
     )
-    upto = Window.partitionBy("_k", "_b").orderBy("_t", "_kind", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    return (rows.withColumn("_now", F.last("_v", ignorenulls=True).over(upto)).where(F.col("_kind") == 2)
-            .select("_e.*", "_now.*")
-            .unionByName(keyless, allowMissingColumns=True))
+    # One row for each hot bucket: at most all rows / hot_rows of them.
+    hot = buckets.select("_k", "_b", (F.coalesce("_asked", F.lit(0)) + F.coalesce("_seen", F.lit(0))).alias("_n")).where(F.col("_n") > hot_rows).collect()
+    if hot:
+        which = events.sparkSession.createDataFrame([(r["_k"], r["_b"]) for r in hot], rows.select("_k", "_b").schema)
+        parts = 1 + 2 * sum(r["_n"] for r in hot) // hot_rows
+        filled = _filled(rows.join(which, ["_k", "_b"], "left_anti"), ["_k", "_b"], ["_t", "_kind", "_v"]).unionByName(
+            _filled_by_ranges(rows.join(which, ["_k", "_b"], "left_semi"), parts))
+    else:
+        filled = _filled(rows, ["_k", "_b"], ["_t", "_kind", "_v"])
+    return filled.where(F.col("_kind") == 2).select("_e.*", "_now.*").unionByName(keyless, allowMissingColumns=True)
+
+
+def _filled(rows: DataFrame, within: list[str], order: list[str]) -> DataFrame:
+    """Rows with the last snapshot up to them (``_now``) in their group."""
+    upto = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("_k", "_b", "_kind", "_e", F.last("_v", ignorenulls=True).over(upto).alias("_now"))
+
+
+def _filled_by_ranges(rows: DataFrame, parts: int) -> DataFrame:
+    """The same for few large buckets: ranges of the order, and one carried row for each range.
+
+    A range that begins inside a bucket takes over the last snapshot before it, if that
+    one is of the same bucket; every bucket begins with its own carried row or none.
+    """
+    ranged = in_ranges(rows, [F.col("_k"), F.col("_b"), F.col("_t"), F.col("_kind"), F.col("_v")], parts)
+    ends = ranged.groupBy("_range").agg(
+        F.min_by(F.struct("_k", "_b"), "_place").alias("_first"),
+        F.max_by(F.when(F.col("_v").isNotNull(), F.struct("_k", "_b", "_v")), F.when(F.col("_v").isNotNull(), F.col("_place"))).alias("_end"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    taken = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(earlier)).where(
+        (F.col("_before._k") == F.col("_first._k")) & F.col("_before._b").eqNullSafe(F.col("_first._b")))
+    carried = taken.select("_range", F.col("_first._k").alias("_k"), F.col("_first._b").alias("_b"), F.col("_before._v").alias("_v"),
+                           F.lit(-1).cast("bigint").alias("_place"), F.lit(0).alias("_kind"))
+    return _filled(ranged.unionByName(carried, allowMissingColumns=True), ["_range", "_k", "_b"], ["_place"])
 
 
 # ------------------------------------------------------------------- features

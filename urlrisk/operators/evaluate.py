@@ -61,14 +61,12 @@ def score_totals(df: DataFrame) -> DataFrame:
 def cumulative(df: DataFrame) -> DataFrame:
     """Per distinct score, from the highest: its positives and negatives, and the
     true and false positives when it is the threshold.  ``P`` and ``N`` are the class sizes."""
-    totals = score_totals(df)
-    cut = totals.withColumns({"_b0": F.floor(F.col("score") * 1000), "_b1": F.floor(F.col("score") * 1_000_000)})
-    out = running_sums(cut, ["_b0", "_b1"], "score", ["pos", "neg"], descending=True)
+    out = running_sums(score_totals(df), [F.col("score").desc()], ["pos", "neg"])
     # Doubles: products of class sizes can exceed a 64-bit integer.
     as_double = lambda c: F.col(c).cast("double")
     return out.select("score", as_double("pos").alias("pos"), as_double("neg").alias("neg"), as_double("cum_pos").alias("tp"),
-                      as_double("cum_neg").alias("fp"), totals.agg(F.sum("pos").cast("double")).scalar().alias("P"),
-                      totals.agg(F.sum("neg").cast("double")).scalar().alias("N"))
+                      as_double("cum_neg").alias("fp"), out.agg(F.sum("pos").cast("double")).scalar().alias("P"),
+                      out.agg(F.sum("neg").cast("double")).scalar().alias("N"))
 
 
 def roc_points(df: DataFrame) -> DataFrame:

@@ -117,6 +117,5 @@ def curated_legitimate(df: DataFrame, order: str) -> DataFrame:
 
 
 def _numbered(df: DataFrame, order: str) -> DataFrame:
-    """Ids from 1 in the order of a whole-number column, numbered in buckets of it."""
-    bucketed = df.withColumns({"_b0": F.floor(F.col(order) / 100_000_000), "_b1": F.floor(F.col(order) / 10_000)})
-    return row_numbers(bucketed, ["_b0", "_b1"], [F.col(order), F.col("url")], "id").drop("_b0", "_b1")
+    """Ids from 1 in the order of a column, equal ones by URL."""
+    return row_numbers(df, [F.col(order), F.col("url")], "id")

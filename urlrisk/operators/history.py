@@ -6,22 +6,26 @@ they concern.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ordering import row_numbers
 
 COLUMNS = ("id", "content", "contentType", "threatLevel", "score", "isPhishing", "analyzedAt", "response")
 
 
-def entry_id(content: Column, at: Column) -> Column:
-    """Id that depends on content and time only: a task that runs again writes the same id."""
-    return F.sha2(F.concat_ws("\u0001", content, F.unix_micros(at.cast("timestamp")).cast("string")), 256)
+def entry_id(content: Column, at: Column, *more: Column) -> Column:
+    """Id that depends on content, time and ``more`` (a message id) only: a task that runs again writes the same id."""
+    return F.sha2(F.concat_ws("\u0001", content, F.unix_micros(at.cast("timestamp")).cast("string"), *more), 256)
 
 
 def to_entries(results: DataFrame) -> DataFrame:
-    """Scored rows (content, kind, verdict columns, analyzedAt) as history rows."""
+    """Scored rows (content, kind, verdict columns, analyzedAt) as history rows.
+
+    Where there is a ``msg_id``, it is part of the id: equal contents of one instant stay two rows.
+    """
+    message = [F.col("msg_id")] if "msg_id" in results.columns else []
     return results.select(
-        entry_id(F.col("content"), F.col("analyzedAt")).alias("id"), "content", F.col("kind").alias("contentType"),
+        entry_id(F.col("content"), F.col("analyzedAt"), *message).alias("id"), "content", F.col("kind").alias("contentType"),
         "threatLevel", F.col("confidenceScore").alias("score"), "isPhishing", "analyzedAt",
         F.to_json(F.struct(*[c for c in results.columns if c not in ("content", "analyzedAt")])).alias("response"),
         F.to_date("analyzedAt").alias("date"))
@@ -46,19 +50,8 @@ def get(history: DataFrame, entry: str) -> DataFrame:
 
 
 def delete(history: DataFrame, entry: str) -> DataFrame:
-    """The table without one row."""
-    return history.where(F.col("id") != entry)
-
-
-def delete_rewriting(spark: SparkSession, path: str, out: str, entry: str) -> bool:
-    """Rewrite the dates that hold the row to ``out``; False and no write where there is none."""
-    table = spark.read.parquet(path)
-    touched = table.where(F.col("id") == entry).select("date").distinct()
-    if touched.isEmpty():
-        return False
-    delete(table.join(F.broadcast(touched), "date", "left_semi"), entry).write.mode(
-        "errorifexists").partitionBy("date").parquet(out)
-    return True
+    """The table without one row; rows without an id stay."""
+    return history.where(~F.col("id").eqNullSafe(F.lit(entry)))
 
 
 def keep_newest(history: DataFrame, n: int | None = None) -> DataFrame:
@@ -67,7 +60,7 @@ def keep_newest(history: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def unexpired(history: DataFrame, days: int, as_of: str) -> DataFrame:
-    """Rows not older than the given days; 0 keeps all.  A table by date reads the dates it needs only."""
+    """Rows not older than the given days; 0 keeps all, else rows without a time go.  A table by date reads the dates it needs only."""
     if days == 0:
         return history
     bound = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")
@@ -110,10 +103,5 @@ def number_newest_first(history: DataFrame) -> DataFrame:
 
 
 def numbered_by_time(history: DataFrame, name: str) -> DataFrame:
-    """Number rows from the newest on.
-
-    Buckets are the day, the minute, the instant and the first digits of the id,
-    so that a batch of one instant isn't one bucket.  Rows without a time come last.
-    """
-    levels = {"_day": F.to_date("analyzedAt"), "_minute": F.date_trunc("minute", "analyzedAt"), "_at": F.col("analyzedAt"), "_id": F.substring("id", 1, 3)}
-    return row_numbers(history.withColumns(levels), list(levels), [F.col("id")], name, descending=[True, True, True, False]).drop(*levels)
+    """Number rows from the newest on, equal times by id; rows without a time come last."""
+    return row_numbers(history, [F.col("analyzedAt").desc(), F.col("id")], name)

@@ -1,31 +1,21 @@
-"""Model jobs with Spark ML: boosted trees, search, prediction, ablation, contributions."""
+"""Model jobs with Spark ML: boosted trees, prediction, ablation, contributions, stored sets of a model and its tables."""
 
 from __future__ import annotations
 
-import math
-import random
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import rules
 from ..functions.ordering import hash_zones
 from . import evaluate
 
-# Search ranges: (name, low, high, kind); kind is int, log, real, or a step.
-SEARCH_SPACE = (
-    ("maxDepth", 3, 10, "int"), ("stepSize", 0.01, 0.3, "log"), ("maxIter", 100, 1000, 50),
-    ("subsamplingRate", 0.5, 1.0, "real"), ("featureShare", 0.5, 1.0, "real"), ("minInstancesPerNode", 1, 10, "int"),
-    ("minInfoGain", 0.0, 5.0, "real"),
-)
-
-
 def _columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Features as doubles, label as double, all other columns as they are."""
     out = df.withColumns({n: F.col(n).cast("double") for n in names})
@@ -66,47 +56,15 @@ def predict(df: DataFrame, model: PipelineModel, threshold: float = rules.PHISHI
 
 def stratified_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Add ``fold`` (0..k-1): per class, equal shares in hash order of a unique key."""
-    counts = df.groupBy("label").agg(F.count("*").alias("_n"))
-    cuts = counts.select("label", F.array(*[F.floor(F.col("_n") * i / k) for i in range(1, k)]).alias("cuts"))
+    cuts = lambda rows: {label: [n * i // k for i in range(1, k)] for label, n in rows.items()}
     keyed = df.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-fold-{seed}"))))
     return hash_zones(keyed, "label", "_h", cuts, "fold").drop("_h")
 
 
-def draw_params(trials: int = 50, seed: int = 42, space=SEARCH_SPACE) -> list[dict]:
-    """Seeded random parameter sets from the search ranges."""
-    rng = random.Random(seed)
-
-    def one(low, high, kind):
-        if kind == "log":
-            return math.exp(rng.uniform(math.log(low), math.log(high)))
-        if kind == "real":
-            return rng.uniform(low, high)
-        return rng.randrange(low, high + 1, 1 if kind == "int" else kind)
-
-    return [{name: one(low, high, kind) for name, low, high, kind in space} for _ in range(trials)]
-
-
-def search(rows: DataFrame, names: Sequence[str], key: str, trials: int = 50, k: int = 5, seed: int = 42,
-           parallelism: int = 4, space=SEARCH_SPACE) -> tuple[CrossValidatorModel, DataFrame]:
-    """Random search by mean area under the ROC curve over stratified folds; model and trial table."""
-    drawn = draw_params(trials, seed, space)
-    stages = pipeline(names, seed)
-    boost = stages.getStages()[-1]
-    maps = [{(boost.featureSubsetStrategy if n == "featureShare" else getattr(boost, n)): (str(v) if n == "featureShare" else v)
-             for n, v in d.items()} for d in drawn]
-    data = _columns(stratified_folds(rows, key, k, seed), names)
-    cv = CrossValidator(estimator=stages, estimatorParamMaps=maps, foldCol="fold", numFolds=k, parallelism=parallelism,
-                        evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC"))
-    model = cv.fit(data)
-    # One row per trial: bounded by the number of trials.
-    table = [(i, float(m), float(s), {n: float(v) for n, v in d.items()})
-             for i, (m, s, d) in enumerate(zip(model.avgMetrics, model.stdMetrics, drawn))]
-    history = rows.sparkSession.createDataFrame(table, "trial int, meanAuc double, stdAuc double, params map<string,double>")
-    return model, history
-
-
-def best_trial(history: DataFrame) -> DataFrame:
-    return history.agg(F.max_by(F.struct(*history.columns), F.struct("meanAuc", -F.col("trial"))).alias("b")).select("b.*")
+def spark_params(params: dict[str, float]) -> dict:
+    """What a trial of ``search`` says to Spark's boosted trees; the penalties and the least gain have no counterpart there."""
+    return {"maxDepth": int(params["maxDepth"]), "stepSize": float(params["stepSize"]), "maxIter": int(params["maxIter"]),
+            "subsamplingRate": float(params["subsamplingRate"]), "featureSubsetStrategy": str(float(params["featureShare"]))}
 
 
 def importances(df: DataFrame, model: PipelineModel) -> DataFrame:
@@ -164,3 +122,38 @@ def save(model: PipelineModel, path: str, metadata: DataFrame, metadata_path: st
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+SETS = "attempt string, number int"
+
+
+def save_set(model: PipelineModel, root: str, **tables: DataFrame) -> int:
+    """Model, metadata and trial history (any named tables) as one numbered set.
+
+    All parts are written first; the set is there when its mark is, so a set that was
+    written by half cannot be loaded.
+    """
+    spark = SparkSession.active()
+    attempt = uuid.uuid4().hex
+    for name, table in tables.items():
+        table.write.parquet(f"{root}/parts/{attempt}/{name}")
+    model.write().save(f"{root}/parts/{attempt}/model")
+    number = 1 + max((r["number"] for r in _sets(spark, root).collect()), default=0)
+    spark.createDataFrame([(attempt,)], "attempt string").coalesce(1).write.parquet(f"{root}/sets/number={number}")
+    return number
+
+
+def _sets(spark: SparkSession, root: str) -> DataFrame:
+    try:
+        return spark.read.schema(SETS).parquet(f"{root}/sets")
+    except AnalysisException:  # no set yet
+        return spark.createDataFrame([], SETS)
+
+
+def load_set(spark: SparkSession, root: str, names: Sequence[str] = (), number: int | None = None) -> tuple[PipelineModel, dict[str, DataFrame]]:
+    """Model and named tables of a set; of the newest where no number is given."""
+    sets = {r["number"]: r["attempt"] for r in _sets(spark, root).collect()}
+    if not sets or number is not None and number not in sets:
+        raise ValueError(f"no set {number if number is not None else ''} below {root}")
+    path = f"{root}/parts/{sets[max(sets) if number is None else number]}"
+    return PipelineModel.load(f"{path}/model"), {n: spark.read.parquet(f"{path}/{n}") for n in names}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
 from ..functions.staging import computed_once
-from ..functions.strings import contains_any, present, round_half_up
+from ..functions.strings import contains_any, first_items, present, round_half_up
 from .urls import step_level
 
 
@@ -41,6 +41,16 @@ class Thresholds:
             raise ValueError("level bounds must increase")
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How many reasons are shown; ``None`` for all."""
+
+    score: int | None = rules.SCORE_REASONS
+    verdict_text: int | None = rules.VERDICT_TEXT_REASONS
+    verdict_url: int | None = rules.VERDICT_URL_REASONS
+    verdict: int | None = rules.VERDICT_REASONS
+
+
 def _n(col: str) -> Column:
     return F.col(col).cast("string")
 
@@ -125,20 +135,20 @@ def add_component_scores(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def ranked_reasons(factors: Column, level: Column) -> Column:
-    """Distinct factors, the two priority classes first, in stable order, ten at most."""
+def ranked_reasons(factors: Column, level: Column, most: int | None = rules.SCORE_REASONS) -> Column:
+    """Distinct factors, the two priority classes first, in stable order, ``most`` at most."""
     distinct = F.array_distinct(factors)
     rank = lambda f: (F.when(contains_any(F.lower(f), rules.HIGH_PRIORITY_WORDS), 0)
                       .when(contains_any(F.lower(f), rules.MEDIUM_PRIORITY_WORDS), 1).otherwise(2))
     keyed = F.transform(distinct, lambda f, i: F.struct(rank(f).alias("r"), i.alias("i"), f.alias("f")))
-    ordered = F.slice(F.transform(F.array_sort(keyed), lambda x: x["f"]), 1, 10)
+    ordered = first_items(F.transform(F.array_sort(keyed), lambda x: x["f"]), most)
     nothing = F.when(level == "safe", F.array(F.lit("No significant risk indicators detected"))).otherwise(
         F.array(F.lit("Unable to determine specific risk factors")))
     return F.when(F.size(factors) == 0, nothing).otherwise(ordered)
 
 
 def add_risk_score(df: DataFrame, weights: Weights = Weights(), thresholds: Thresholds = Thresholds(),
-                   model_score: str | None = None) -> DataFrame:
+                   model_score: str | None = None, limits: Limits = Limits()) -> DataFrame:
     """Final score, level, confidence and reasons of a URL.
 
     With ``model_score`` the model's probability replaces the weighted blend.
@@ -156,7 +166,7 @@ def add_risk_score(df: DataFrame, weights: Weights = Weights(), thresholds: Thre
                 "riskLevel": step_level(F.col("finalScore"), rules.LEVELS, thresholds.bounds),
                 "confidence": confidence})
             .withColumns({
-                "reasons": ranked_reasons(F.concat("urlFactors", "osintFactors", "combinedFactors"), F.col("riskLevel")),
+                "reasons": ranked_reasons(F.concat("urlFactors", "osintFactors", "combinedFactors"), F.col("riskLevel"), limits.score),
                 "isPhishing": F.col("riskLevel").isin("dangerous", "critical"),
                 "isSuspicious": F.col("riskLevel") != "safe",
             }))
@@ -183,7 +193,7 @@ def flag_at_threshold(score: Column, threshold: float = rules.PHISHING_THRESHOLD
 
 
 def add_verdict(df: DataFrame, kind: str = "kind", thresholds: Thresholds = Thresholds(),
-                model_line: bool = False) -> DataFrame:
+                model_line: bool = False, limits: Limits = Limits()) -> DataFrame:
     """Combine URL score, text confidence and enrichment into one verdict per message."""
     false = F.lit(False)
     age = F.col("domainAgeDays")
@@ -201,8 +211,8 @@ def add_verdict(df: DataFrame, kind: str = "kind", thresholds: Thresholds = Thre
         present([F.when(is_url, F.concat(F.lit("ML model confidence: "),
                                          F.format_string("%.1f", F.bround(F.col("finalScore") * 100, 1)), F.lit("%")))])
         if model_line else none,
-        F.slice("textReasons", 1, 5),
-        F.when(is_url, F.slice("reasons", 1, 3)).otherwise(none),
+        first_items(F.col("textReasons"), limits.verdict_text),
+        F.when(is_url, first_items(F.col("reasons"), limits.verdict_url)).otherwise(none),
         present([
             F.when(recent, _say("Domain registered recently (", age.cast("string"), " days ago)")),
             F.when(private, "WHOIS privacy protection enabled"),
@@ -215,7 +225,7 @@ def add_verdict(df: DataFrame, kind: str = "kind", thresholds: Thresholds = Thre
             "verdictIsPhishing": F.col("_combined") >= thresholds.phishing,
             "verdictScore": round_half_up(F.col("_combined"), 3),
             "threatLevel": step_level(F.col("_combined"), rules.LEVELS, thresholds.bounds),
-            "verdictReasons": F.slice(reasons, 1, 10),
+            "verdictReasons": first_items(reasons, limits.verdict),
         }).drop("_combined"),
         "verdictIsPhishing", "verdictScore", "threatLevel", "verdictReasons")
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import rules
 from ..functions.staging import computed_once, explode_rows
-from ..functions.strings import present, quote_all, round_half_up
+from ..functions.strings import first_items, present, quote_all, round_half_up
 from .urls import step_level
 
 # Word characters.  The plain classes list their characters one by one: the regex
@@ -245,8 +245,8 @@ KINDS = tuple((f"n_{x.category}", x.severity, x.tactic) for x in rules.LEXICONS)
 )
 
 
-def add_text_verdict(df: DataFrame) -> DataFrame:
-    """Tactics, confidence, level and reasons from the indicator counts."""
+def add_text_verdict(df: DataFrame, most: int | None = rules.TEXT_REASONS) -> DataFrame:
+    """Tactics, confidence, level and reasons (the first ``most``; all for ``None``) from the indicator counts."""
     total = sum((F.col(c) for c, _, _ in KINDS[1:]), F.col(KINDS[0][0]))
     severity = sum((F.col(c) * F.lit(float(s)) for c, s, _ in KINDS[1:]), F.col(KINDS[0][0]) * F.lit(float(KINDS[0][1])))
     high = [F.col(c) for c, s, _ in KINDS if s > 0.7]
@@ -267,14 +267,14 @@ def add_text_verdict(df: DataFrame) -> DataFrame:
             .withColumns({
                 "textIsPhishing": F.col("textConfidence") >= rules.PHISHING_THRESHOLD,
                 "textLevel": step_level(F.col("textConfidence"), rules.LEVELS, rules.LEVEL_BOUNDS),
-                "textReasons": F.slice(reasons, 1, 10),
+                "textReasons": first_items(reasons, most),
             })
             .drop("_severity"))
 
 
-def text_analysis(df: DataFrame, text: str = "content", message_type: str | None = None) -> DataFrame:
+def text_analysis(df: DataFrame, text: str = "content", message_type: str | None = None, most: int | None = rules.TEXT_REASONS) -> DataFrame:
     """Counts, tactics, confidence, level and reasons for each text, in one narrow stage."""
     active = None if message_type is None else F.col(message_type).isin("email", "text")
     out = add_phrase_counts(df, text)
     out = add_attachment_flags(out, text, active)
-    return add_text_verdict(add_link_counts(out, text, active))
+    return add_text_verdict(add_link_counts(out, text, active), most)

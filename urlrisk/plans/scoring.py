@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.staging import computed_once
 from ..operators import content as C, enrich as E, score as S, text as T, urls as U
+from . import analysers
 
 RESULT = (
     "msg_id", "success", "kind", "domain", "isPhishing", "confidenceScore", "threatLevel", "reasons", "recommendation",
@@ -26,7 +27,7 @@ def content_signals(messages: DataFrame, url_rules=U.rules.URL_RULES, legitimate
     Input: ``msg_id, content, content_type`` and any other columns, which stay.
     ``url_rules`` and ``legitimate`` replace the pattern rules and the brand hosts;
     ``analyser`` is any function (table, text column, type column) that adds the
-    columns of the text analysis.
+    columns of the text analysis; see ``plans.analysers``.
     """
     checked = C.add_request_error(messages)
     given = F.col("content_type")
@@ -38,20 +39,20 @@ def content_signals(messages: DataFrame, url_rules=U.rules.URL_RULES, legitimate
     parts = U.with_parts(routed, "content").withColumn("_url", F.when(F.col("kind") == "url", F.col("content")))
     out = U.add_feature_counts(U.add_features(parts, "content"))
     out = U.drop_parts(U.add_structural_score(U.add_hits(out, "_url", url_rules, legitimate), "_url")).drop("_url", "hits", "notes", "structuralLevel")
-    return analyser(out, "content", "kind").drop("content", "content_type")
+    return analysers.checked(analyser)(out, "content", "kind").drop("content", "content_type")
 
 
 def verdicts(signals: DataFrame, bundle: DataFrame, weights: S.Weights = S.Weights(),
-             thresholds: S.Thresholds = S.Thresholds(), model=None) -> DataFrame:
+             thresholds: S.Thresholds = S.Thresholds(), model=None, limits: S.Limits = S.Limits()) -> DataFrame:
     """Join the enrichment, score, and decide; a bad row gets an error, never an exception."""
     enriched = E.add_osint_quality(E.add_osint_features(E.enrich(signals, bundle)))
     scored = S.add_component_scores(enriched)
     if model is not None:
         from ..operators.model import add_probability
         scored = add_probability(scored, model, "modelScore")
-    scored = S.add_risk_score(scored, weights, thresholds, "modelScore" if model is not None else None)
+    scored = S.add_risk_score(scored, weights, thresholds, "modelScore" if model is not None else None, limits)
     scored = scored.drop("isPhishing", "confidence", "isSuspicious")
-    scored = S.add_verdict(scored, thresholds=thresholds, model_line=model is not None)
+    scored = S.add_verdict(scored, thresholds=thresholds, model_line=model is not None, limits=limits)
 
     error = F.coalesce("requestError", F.when(
         F.col("kind").isin("email", "text") & F.col("hasBrokenLink"), "Invalid IPv6 URL"))
@@ -89,16 +90,16 @@ _SIGNALS = frozenset(
 
 
 def score_messages(messages: DataFrame, bundle: DataFrame, weights: S.Weights = S.Weights(),
-                   thresholds: S.Thresholds = S.Thresholds(), model=None, **extensions) -> DataFrame:
+                   thresholds: S.Thresholds = S.Thresholds(), model=None, limits: S.Limits = S.Limits(), **extensions) -> DataFrame:
     """Messages ``(msg_id, content, content_type)`` and the per-domain bundle -> verdicts.
 
     ``extensions`` are the replaceable parts of ``content_signals``.
     """
-    return verdicts(content_signals(messages, **extensions), bundle, weights, thresholds, model)
+    return verdicts(content_signals(messages, **extensions), bundle, weights, thresholds, model, limits)
 
 
 def score_urls(urls: DataFrame, bundle: DataFrame | None = None, url: str = "url", key: str = "url_id",
-               weights: S.Weights = S.Weights(), thresholds: S.Thresholds = S.Thresholds(), model=None) -> DataFrame:
+               weights: S.Weights = S.Weights(), thresholds: S.Thresholds = S.Thresholds(), model=None, limits: S.Limits = S.Limits()) -> DataFrame:
     """URL scores without the text part: components, final score, level, confidence, reasons."""
     parts = U.with_parts(urls, url)
     site = F.lower(U.U.host_before_first_colon(F.col("_netloc")))
@@ -116,4 +117,4 @@ def score_urls(urls: DataFrame, bundle: DataFrame | None = None, url: str = "url
     if model is not None:
         from ..operators.model import add_probability
         scored = add_probability(scored, model, "modelScore")
-    return S.add_risk_score(scored, weights, thresholds, "modelScore" if model is not None else None)
+    return S.add_risk_score(scored, weights, thresholds, "modelScore" if model is not None else None, limits)

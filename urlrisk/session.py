@@ -18,6 +18,8 @@ def local_session(cores: int | str = 8, name: str = "urlrisk", **extra: str) ->
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Plans here have thousands of expressions; noting the call site of each one takes longer than planning them.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **extra,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..operators.history import numbered_by_time
 from ..operators.feeds import LEGITIMATE_COLUMNS, MALICIOUS_COLUMNS
+from ..session import new_folder
 
 
 def write_feed(df: DataFrame, path: str, format: str = "csv") -> None:
@@ -16,19 +17,33 @@ def write_feed(df: DataFrame, path: str, format: str = "csv") -> None:
     writer.option("header", True).option("escape", '"').csv(path) if format == "csv" else writer.format(format).save(path)
 
 
-def write_features(df: DataFrame, path: str, rejected_path: str, names, format: str = "csv") -> None:
-    """Features and label; rows that cannot be used go to their own place and fail nothing."""
-    good, bad = split_feature_rows(df)
-    out = good.select(*[F.col(n).cast("double").alias(n) for n in names], F.col("label").cast("int").alias("label"))
+def write_features(df: DataFrame, path: str, rejected_path: str, names, format: str = "csv") -> dict:
+    """Features and label; rows that cannot be used go to their own place and fail nothing.
+
+    Gives ``ok``, ``errors`` and ``columnsComplete``.  The rows are derived once, into a
+    stage by usable and rejected; the counts are observed in that write.
+    """
+    counts = Observation("features")
+    marked = df.withColumn("rejectReason", _reject_reason())
+    good = F.col("rejectReason").isNull()
+    stage = new_folder(df.sparkSession, "features")
+    observed = marked.observe(counts, F.count_if(good).alias("ok"), F.count_if(~good).alias("errors"))
+    observed.withColumn("_bad", ~good).write.partitionBy("_bad").parquet(stage)
+    stored = df.sparkSession.read.schema(marked.schema.add("_bad", "boolean")).parquet(stage)
+    out = stored.where(~F.col("_bad")).select(*[F.col(n).cast("double").alias(n) for n in names], F.col("label").cast("int").alias("label"))
     out.write.mode("errorifexists").option("header", True).format(format).save(path)
-    bad.write.mode("errorifexists").parquet(rejected_path)
+    stored.where("_bad").drop("_bad").write.mode("errorifexists").parquet(rejected_path)
+    return {**counts.get, "columnsComplete": all(n in df.columns for n in names)}
+
+
+def _reject_reason():
+    return (F.when(F.col("url").isNull(), "missing url")
+            .when(F.col("label").try_cast("int").isNull(), "bad label"))
 
 
 def split_feature_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with a URL and a numeric label, and the others with the reason."""
-    reason = (F.when(F.col("url").isNull(), "missing url")
-              .when(F.col("label").try_cast("int").isNull(), "bad label"))
-    marked = df.withColumn("rejectReason", reason)
+    marked = df.withColumn("rejectReason", _reject_reason())
     return marked.where(F.col("rejectReason").isNull()).drop("rejectReason"), marked.where(F.col("rejectReason").isNotNull())
 
 
