@@ -34,10 +34,10 @@ def same(codec, texts):
 
 
 def test_awkward_texts(codec):
-    same(codec, [None, "", " ", "  \n\t ", "a", "\x00", "\U0001f600 \u00e9\u0301", "<|endoftext|> it's", "aaaaaaaaaaaaaaaaa", "a " * 50, "\u3000\u00a0x"])
+    same(codec, [None, "", " ", "  \n\t ", "a", "\x00", "\U0001f600 \u00e9\u0301", "<|endoftext|> it's", "aaaaaaaaaaaaaaaaa", "a " * 50, "\u3000\u00a0x", " a  b \n c\n d", "  ", " x", "\x1c \x1f y", "a\u2003 b"])
 
 
-@pytest.mark.parametrize("letters", ["ab", "aeinst", "etaoin shrdlu", string.ascii_letters, string.digits, "\u00e9\u00e8\u00e4 n", "\u4e00\u4e8c\u4e09\u4eba\u5927\u5b66\u7684"])
+@pytest.mark.parametrize("letters", ["ab", "ab \n\t.'s", " \u3000\x1c\x85a1", "aeinst", "etaoin shrdlu", string.ascii_letters, string.digits, "\u00e9\u00e8\u00e4 n", "\u4e00\u4e8c\u4e09\u4eba\u5927\u5b66\u7684"])
 def test_random_words(codec, letters):
     draw = random.Random(letters)
     same(codec, ["".join(draw.choices(letters, k=draw.randint(0, 60))) for _ in range(1500)])
