@@ -11,8 +11,8 @@
   phrases only and were in no pass before, and so on until no failure is left.  Phrases
   of up to three words take three full passes at most.
 
-A task hashes words to 64 bits and counts phrases as tuples of hashes, so that the
-shuffle carries numbers; a second hash of every word shows when two words of the corpus
+A task hashes words to 64 bits and counts phrases as tuples of hashes; packed counts
+meet in buckets whose number grows with the texts.  A second hash of every word shows when two words of the corpus
 share the first, and then all is done again with another seed.  Whether a phrase is
 proposed or frequent is looked up in bit maps of ``BITS`` bits, which do not grow with
 the corpus; two phrases that share a bit only make the border larger.  Texts of words
@@ -45,9 +45,9 @@ LIMIT = 2000
 OVERLAP = 50  # percent of a phrase's places that a longer one must hold to replace it
 BITS = 1 << 25
 HOT = 4096
-WORDS = 1 << 20  # counted at a time; its third power must fit into 63 bits
-PIECE = 1 << 20  # bytes hashed at a time
-ROWS = 1 << 16
+WORDS = 1 << 19  # counted at a time; its third power must fit into 63 bits
+PIECE = 1 << 18  # bytes hashed at a time
+BUCKET_BYTES = 3 << 22  # bytes of texts for which there is one bucket of counts
 NO_LANG = "und"
 
 #: A-Z in lower case.
@@ -57,7 +57,7 @@ KIND = np.zeros(256, np.uint8)
 KIND[list(b" \t")] = 1
 KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
 GAP = np.uint64(0x9E3779B97F4A7C15)
-COUNTS = "lang string, size int, a long, b long, c long, n long, check long"
+FOUND = "lang string, size int, a long, b long, c long, n long, shared boolean"
 
 
 class Hasher:
@@ -210,19 +210,18 @@ def _holds(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _tuples(keys: np.ndarray, words: np.ndarray, size: int) -> Iterator[dict[str, np.ndarray]]:
-    """Rows of phrases, given as numbers to the base of the number of words."""
-    keys, n = np.unique(keys, return_counts=True)
-    for i in range(0, len(keys), ROWS):
-        rest, out = keys[i:i + ROWS], {"n": n[i:i + ROWS]}
-        for name in "cba"[3 - size:]:
-            rest, at = np.divmod(rest, len(words))
-            out[name] = words[at]
-        yield out | {"size": size}
+def _tuples(keys: np.ndarray, words: np.ndarray, size: int) -> dict:
+    """Phrases and their counts, from phrases given as numbers to the base of the number of words."""
+    rest, n = np.unique(keys, return_counts=True)
+    out = {"n": n, "size": size}
+    for name in "cba"[3 - size:]:
+        rest, at = np.divmod(rest, len(words))
+        out[name] = words[at]
+    return out
 
 
-def counted(words: Words, passes: list[Maps] | None) -> Iterator[dict[str, np.ndarray]]:
-    """Rows of ``size, a, b, c, n, check``.
+def counted(words: Words, passes: list[Maps] | None) -> Iterator[dict]:
+    """Phrases of one size with their counts: ``size`` and arrays ``a``, ``b``, ``c``, ``n`` and, for words, ``check``.
 
     Without ``passes`` all words and pairs are counted, for a sample.  Else: words, if
     this is the first pass; pairs of words that the last of ``passes`` has; triples of
@@ -234,9 +233,7 @@ def counted(words: Words, passes: list[Maps] | None) -> Iterator[dict[str, np.nd
         n = np.bincount(inverse[new], minlength=len(u))
         other = np.flatnonzero(words.second != words.second[at][inverse])  # words that share the first hash
         for places, amount in ((at[n > 0], n[n > 0]), (other, np.zeros(len(other), np.int64))):
-            for i in range(0, len(places), ROWS):
-                some = places[i:i + ROWS]
-                yield {"size": 1, "a": words.first[some], "n": amount[i:i + ROWS], "check": words.second[some]}
+            yield {"size": 1, "a": words.first[places], "n": amount, "check": words.second[places]}
     if len(inverse) < 2:
         return
     joined = ~words.fresh[1:]
@@ -244,7 +241,7 @@ def counted(words: Words, passes: list[Maps] | None) -> Iterator[dict[str, np.nd
     base = len(u)
     pair = inverse[:-1] * base + inverse[1:]
     if passes is None:
-        yield from _tuples(pair[new], u, 2)
+        yield _tuples(pair[new], u, 2)
         return
     slots = np.zeros(len(joined), np.uint64)
     slots[joined] = _slots(words.first[:-1][joined], words.first[1:][joined])
@@ -256,36 +253,79 @@ def counted(words: Words, passes: list[Maps] | None) -> Iterator[dict[str, np.nd
         triples = linked[:-1] & linked[1:]
         now = [new & pairs & ~before[0], triples & ~before[1]]
         before = [before[0] | pairs, before[1] | triples]
-    yield from _tuples(pair[now[0]], u, 2)
-    yield from _tuples(pair[:-1][now[1]] * base + inverse[2:][now[1]], u, 3)
+    yield _tuples(pair[now[0]], u, 2)
+    yield _tuples(pair[:-1][now[1]] * base + inverse[2:][now[1]], u, 3)
 
 
 def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text).cast("binary").alias("text")).where("text IS NOT NULL")
 
 
-def phrase_counts(texts: DataFrame, passes: list[Maps] | None, seed: int) -> DataFrame:
-    """``lang, size, a, b, c, n`` and the least and largest second hash of words (``low``, ``high``).
-
-    Passes that count words have a row of size 0 for each language with the number of all its words.
+def _bucket(row: dict, buckets: int) -> np.ndarray:
+    """Which bucket counts a phrase: a hash of its words, so that buckets are even."""
+    mixed = mix64(row["a"].view(np.uint64))
+    for c in "bc":
+        if c in row:
+            mixed = mix64(mixed + GAP + row[c].view(np.uint64))
+    return (mixed % np.uint64(buckets)).astype(np.int64)
+
+
+#: Columns of a packed row beside its count, by the number of words; 0 is for the number of all words.
+PACKED = {0: ("a",), 1: ("a", "check"), 2: ("a", "b"), 3: ("a", "b", "c")}
+
+
+def packed(lang: str, row: dict, buckets: int) -> pa.RecordBatch:
+    """Counts of a task as one binary value for each bucket: its columns one after the other, then the counts."""
+    bucket = _bucket(row, buckets)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True])
+    columns = [*(row[c][order].astype("<i8") for c in PACKED[row["size"]]), row["n"][order].astype("<u4")]
+    values = [b"".join(c[i:j].tobytes() for c in columns) for i, j in zip(edges, edges[1:])]
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array([row["size"]] * len(values), pa.int32()),
+                                       pa.array(bucket[order][edges[:-1]]), pa.array(values, pa.binary())], names=["lang", "size", "bucket", "counts"])
+
+
+def summed(size: int, values: list[bytes], least: int) -> dict[str, np.ndarray]:
+    """Phrases of one bucket with their exact counts, those with ``least`` or more; ``shared`` where two words have the first hash."""
+    names = PACKED[size]
+    width = 8 * len(names) + 4
+    n = np.concatenate([np.frombuffer(v, "<u4", offset=8 * len(names) * (len(v) // width)) for v in values]).astype(np.int64)
+    keys = [np.concatenate([np.frombuffer(v, "<i8", len(v) // width, 8 * i * (len(v) // width)) for v in values]) for i in range(len(names))]
+    order = np.lexsort(keys[::-1])
+    keys, n = [k[order] for k in keys], n[order]
+    own = keys[:1] if size == 1 else keys
+    edges = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in own], axis=0), True])
+    first, last = edges[:-1], edges[1:] - 1
+    total = np.add.reduceat(n, first)
+    shared = keys[1][first] != keys[1][last] if size == 1 else np.zeros(len(first), bool)
+    kept = (total >= least) | shared | (size == 0)
+    zeros = np.zeros(int(kept.sum()), np.int64)
+    out = {c: k[first][kept] for c, k in zip(names, keys) if c != "check"}
+    return {**{c: out.get(c, zeros) for c in "abc"}, "n": total[kept], "shared": shared[kept]}
+
+
+def phrase_counts(texts: DataFrame, passes: list[Maps] | None, seed: int, buckets: int, least: int) -> DataFrame:
+    """Exact counts of the phrases of a pass that occur ``least`` times or more (``FOUND``).
+
+    A task adds up its own; phrases then meet in ``buckets`` by their hash, a bounded
+    number in each.  Passes that count words have a row of size 0 for each language with
+    the number of all its words.
     """
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, words in read(source, seed):
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words in read(source, seed):
             if passes is None or len(passes) == 1:
-                yield _batch(name, {"size": 0, "n": np.array([np.sum(~words.old)])})
+                yield packed(lang, {"size": 0, "a": np.zeros(1, np.int64), "n": np.array([np.sum(~words.old)])}, buckets)
             for row in counted(words, passes):
-                yield _batch(name, row)
+                if len(row["n"]):
+                    yield packed(lang, row, buckets)
 
-    return (texts.mapInArrow(run, COUNTS).groupBy("lang", "size", "a", "b", "c")
-            .agg(F.sum("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high")))
+    def add(rows: pa.Table) -> pa.Table:
+        size = rows.column("size")[0].as_py()
+        out = summed(size, rows.column("counts").to_pylist(), least)
+        n = len(out["n"])
+        return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()] * n, pa.string()), "size": pa.array(np.full(n, size, np.int32)), **out})
 
-
-def _batch(lang: str, row: dict) -> pa.RecordBatch:
-    n = len(row["n"])
-    zeros = np.zeros(n, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(zeros)), pa.array(np.full(n, row["size"], np.int32)),
-                                       *(pa.array(row.get(c, zeros)) for c in ("a", "b", "c", "n", "check"))],
-                                      names=["lang", "size", "a", "b", "c", "n", "check"])
+    return texts.mapInArrow(count, "lang string, size int, bucket long, counts binary").groupBy("lang", "size", "bucket").applyInArrow(add, FOUND)
 
 
 def bit_maps(found: DataFrame) -> Maps:
@@ -316,14 +356,15 @@ class SharedHash(Exception):
 
 def frequent(texts: DataFrame, support: int = SUPPORT, fraction: float = FRACTION, sample_least: int = SAMPLE_LEAST, seed: int = 0) -> tuple[DataFrame, int]:
     """Exact counts of all phrases of one to three words with ``support`` or more, and the totals (size 0); and how many full passes it took."""
-    maps = bit_maps(phrase_counts(texts.where(F.rand(seed) < fraction), None, seed).where(F.col("n") >= sample_least))
+    buckets = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
+    maps = bit_maps(phrase_counts(texts.where(F.rand(seed) < fraction), None, seed, 1 + int(buckets * fraction), sample_least))
     passes, found = [], None
     while True:
         passes.append(maps)
-        counts = stored(phrase_counts(texts, list(passes), seed).where((F.col("n") >= support) | (F.col("size") == 0) | (F.col("low") != F.col("high"))), "phrases")
-        if counts.where((F.col("size") == 1) & (F.col("low") != F.col("high"))).limit(1).count():
+        counts = stored(phrase_counts(texts, list(passes), seed, buckets, support), "phrases")
+        if counts.where("shared").limit(1).count():
             raise SharedHash
-        counts = counts.select("lang", "size", "a", "b", "c", "n")
+        counts = counts.drop("shared")
         found = counts if found is None else found.unionByName(counts)
         maps = bit_maps(found)
         if all(any(not (maps[i] & ~p[i]).any() for p in passes) for i in range(2)):  # all that is frequent was built upon
@@ -331,11 +372,20 @@ def frequent(texts: DataFrame, support: int = SUPPORT, fraction: float = FRACTIO
 
 
 def _joined(rows: DataFrame, keys: list[str], counts: DataFrame, totals: int, name: str) -> DataFrame:
-    """``rows`` with the count ``name`` of the phrase that ``keys`` say; phrases that make up ``1 / HOT`` of all words are broadcast."""
+    """``rows`` with the count ``name`` of the phrase that ``keys`` say.
+
+    Phrases that make up ``1 / HOT`` of all words are broadcast; rows that found theirs
+    there go through the shuffle under a hash of the row, where they meet nothing.
+    """
     own = counts.where(F.col("size") == len(keys)).select("lang", *(F.col(c).alias(k) for c, k in zip("abc", keys)), F.col("n").alias(name))
     hot = F.col(name) > totals // HOT
-    first = rows.join(F.broadcast(own.where(hot)), ["lang", *keys], "left")
-    return first.where(F.col(name).isNotNull()).unionByName(first.where(F.col(name).isNull()).drop(name).join(own.where(~hot), ["lang", *keys]))
+    first = rows.join(F.broadcast(own.where(hot).withColumnRenamed(name, "_hot")), ["lang", *keys], "left")
+    first = first.withColumns({"_cold": F.col("_hot").isNull(), "_key": F.when(F.col("_hot").isNull(), F.col(keys[0])).otherwise(F.xxhash64(*rows.columns))})
+    cold = own.where(~hot).select(F.col("lang").alias("_lang"), *(F.col(k).alias(f"_{k}") for k in keys), F.col(name).alias("_n"), F.lit(True).alias("_is"))
+    same = (F.col("lang") == F.col("_lang")) & (F.col("_key") == F.col(f"_{keys[0]}")) & (F.col("_cold") == F.col("_is"))
+    for k in keys[1:]:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    return first.join(cold, same, "left").withColumn(name, F.coalesce("_hot", "_n")).select(*rows.columns, name)
 
 
 def _score(a: str, l: str, r: str) -> Column:
