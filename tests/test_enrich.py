@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from urlrisk.functions.ordering import in_ranges
 from urlrisk.operators import enrich as E
 
 AS_OF = "2024-02-01"
@@ -70,6 +71,19 @@ def test_as_of_join_equals_brute_force_on_a_hot_key(spark):
     assert {r["event_id"]: r["seq"] for r in got.collect()} == expected
 
 
+def test_ranges_of_hot_buckets_do_not_grow_with_the_rows(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(E, "in_ranges", lambda rows, order, parts: dealt.append(parts) or in_ranges(rows, order, parts))
+    start = dt.datetime(2024, 1, 1)
+    events = [(i, "hot", start + dt.timedelta(minutes=17 * i)) for i in range(600)]
+    snaps = [(j, "hot", start + dt.timedelta(minutes=41 * j)) for j in range(1, 200)]
+    got = E.as_of_join(spark.createDataFrame(events, "event_id int, domain string, ts timestamp"),
+                       spark.createDataFrame(snaps, "seq int, domain string, observed_at timestamp"), bucket="year", hot_rows=2)
+    expected = {e: max(((t, s) for s, _, t in snaps if t <= at), default=(None, None))[1] for e, _, at in events}
+    assert {r["event_id"]: r["seq"] for r in got.collect()} == expected
+    assert dealt == [E.RANGES]
+
+
 def test_spread_join_equals_plain_join(spark):
     left = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "hot").otherwise(
         F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("domain"))

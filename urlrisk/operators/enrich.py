@@ -302,6 +302,9 @@ def enrich(df: DataFrame, bundle: DataFrame, key: str = "domain", row: str = "ms
 
 #: Rows of one (key, bucket) that one task orders; more are dealt by ranges.
 HOT_ROWS = 1 << 20
+#: Ranges for the rows of all hot buckets, as long as a range of them stays below ``HOT_ROWS``.  The driver
+#: gets a sample of some hundred rows for each range.
+RANGES = 128
 
 
 def as_of_join(events: DataFrame, snapshots: DataFrame, key: str = "domain", event_id: str = "event_id",
@@ -312,7 +315,9 @@ def as_of_join(events: DataFrame, snapshots: DataFrame, key: str = "domain", eve
     what held at the start of a bucket comes from a running maximum over one row
     per (key, bucket).  No event meets more than one candidate row.  A (key, bucket) of
     more than ``hot_rows`` rows is not ordered in one task: its rows are dealt by ranges
-    of their time, and what held at the end of a range is carried into the next.
+    of their time, and what held at the end of a range is carried into the next.  The
+    ranges are few however small ``hot_rows`` is: more than ``RANGES`` only where they
+    would hold about ``HOT_ROWS``.
     Events without a key can have no snapshot; they are set aside, so that they don't
     meet in one task.
     """
@@ -340,7 +345,8 @@ def as_of_join(events: DataFrame, snapshots: DataFrame, key: str = "domain", eve
     hot = buckets.select("_k", "_b", (F.coalesce("_asked", F.lit(0)) + F.coalesce("_seen", F.lit(0))).alias("_n")).where(F.col("_n") > hot_rows).collect()
     if hot:
         which = events.sparkSession.createDataFrame([(r["_k"], r["_b"]) for r in hot], rows.select("_k", "_b").schema)
-        parts = 1 + 2 * sum(r["_n"] for r in hot) // hot_rows
+        dealt = 2 * sum(r["_n"] for r in hot)
+        parts = min(1 + dealt // hot_rows, max(RANGES, 1 + dealt // HOT_ROWS))
         filled = _filled(rows.join(which, ["_k", "_b"], "left_anti"), ["_k", "_b"], ["_t", "_kind", "_v"]).unionByName(
             _filled_by_ranges(rows.join(which, ["_k", "_b"], "left_semi"), parts))
     else:
