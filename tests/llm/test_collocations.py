@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from urlrisk.llm import collocations as C, sql
 from urlrisk.llm.queries import QUERIES
@@ -158,3 +159,12 @@ def test_query_and_sql_on_given_documents(spark):
     docs = [(r.lang, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     assert got == brute(docs) == sorted(con.execute(sql.COLLOCATIONS).fetchall())
     assert len(got) > 100
+
+
+def test_no_stage_runs_two_python_workers_for_a_task(spark, monkeypatch):
+    plans, maps = [], C.bit_maps
+    monkeypatch.setattr(C, "bit_maps", lambda found: plans.append(found._jdf.queryExecution().executedPlan().toString()) or maps(found))
+    docs = spark.createDataFrame([("a b c. a b d",)] * 20, "text string").withColumn("lang", F.lit("en"))
+    found, _ = C.frequent(C._texts(docs, "text", "lang"), fraction=1.0)
+    assert {(r["size"], r["n"]) for r in found.collect()} == {(0, 120), (1, 40), (1, 20), (2, 40), (2, 20), (3, 20)}
+    assert plans and not any("InArrow" in p for p in plans)

@@ -285,14 +285,17 @@ def packed(lang: str, row: dict, buckets: int) -> pa.RecordBatch:
                                        pa.array(bucket[order][edges[:-1]]), pa.array(values, pa.binary())], names=["lang", "size", "bucket", "counts"])
 
 
-def summed(size: int, values: list[bytes], least: int) -> dict[str, np.ndarray]:
+def summed(size: int, values: list[bytes | pa.Buffer], least: int) -> dict[str, np.ndarray]:
     """Phrases of one bucket with their exact counts, those with ``least`` or more; ``shared`` where two words have the first hash."""
     names = PACKED[size]
     width = 8 * len(names) + 4
     n = np.concatenate([np.frombuffer(v, "<u4", offset=8 * len(names) * (len(v) // width)) for v in values]).astype(np.int64)
     keys = [np.concatenate([np.frombuffer(v, "<i8", len(v) // width, 8 * i * (len(v) // width)) for v in values]) for i in range(len(names))]
     order = np.lexsort(keys[::-1])
-    keys, n = [k[order] for k in keys], n[order]
+    n = n[order]
+    for i in range(len(keys)):  # one at a time, so that each unsorted one goes before the next is copied
+        keys[i] = keys[i][order]
+    del order
     own = keys[:1] if size == 1 else keys
     edges = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in own], axis=0), True])
     first, last = edges[:-1], edges[1:] - 1
@@ -321,7 +324,7 @@ def phrase_counts(texts: DataFrame, passes: list[Maps] | None, seed: int, bucket
 
     def add(rows: pa.Table) -> pa.Table:
         size = rows.column("size")[0].as_py()
-        out = summed(size, rows.column("counts").to_pylist(), least)
+        out = summed(size, [v.as_buffer() for v in rows.column("counts")], least)
         n = len(out["n"])
         return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()] * n, pa.string()), "size": pa.array(np.full(n, size, np.int32)), **out})
 
@@ -357,7 +360,8 @@ class SharedHash(Exception):
 def frequent(texts: DataFrame, support: int = SUPPORT, fraction: float = FRACTION, sample_least: int = SAMPLE_LEAST, seed: int = 0) -> tuple[DataFrame, int]:
     """Exact counts of all phrases of one to three words with ``support`` or more, and the totals (size 0); and how many full passes it took."""
     buckets = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
-    maps = bit_maps(phrase_counts(texts.where(F.rand(seed) < fraction), None, seed, 1 + int(buckets * fraction), sample_least))
+    # Stored first: a stage that counts and maps at once has two Python workers for each task, and they stay.
+    maps = bit_maps(stored(phrase_counts(texts.where(F.rand(seed) < fraction), None, seed, 1 + int(buckets * fraction), sample_least), "sample-phrases"))
     passes, found = [], None
     while True:
         passes.append(maps)
