@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from urlrisk import rules
 from urlrisk.functions import urlparts as U
-from urlrisk.operators import urls
+from urlrisk.functions.strings import strip, strip_long
+from urlrisk.operators import content, urls
 
 CASES = [
     "https://mail.secure.example.com", "https://www.example.co.uk", "http://192.168.1.1/login", "https://a.com/?q=1&q=2&e=&k",
@@ -113,3 +114,29 @@ def test_domain_rules_of_feeds(spark):
              "/only/path": "", "http://[bad/x": ""}
     df = spark.createDataFrame([(u,) for u in cases], "url string")
     assert {r["url"]: r["d"] for r in df.withColumn("d", U.feed_domain(F.col("url"))).collect()} == cases
+
+
+ODD = (None, "", " ", "　", " a.com ", "a.com　", "\u0085x\u0085 ", "\x7f", "\x1fabc\x1f", "x\ty.com\r\n", "~!", "héé", "héé ", "\U0001F600 ", "[1.2.3.4]", "[[1.2.3.4]]",
+       "::1", "[::1]", "1.2.3.4", "01.2.3.4:8080", "١.2.3.4", "a b.com/x", "a.com/x y", "A.COM", "a.com/\n", "FROM: x", "x?y=1#z", "#?a", "ab?", "Kİ%41%zz 12٣")
+
+
+def test_passes_spared_on_long_texts_change_nothing(spark):
+    c = F.col("c")
+    pairs = {
+        "strip": (strip_long(c), strip(c)),
+        "parsable": (U.parsable(c), F.translate(c, "\t\r\n", "")),
+        "query": (U.query(c), F.regexp_extract(c, r"^[^?#]*\?([^#]*)", 1)),
+        "is_ip": (U.is_ip(c), F.btrim(c, F.lit("[]")).rlike(rules.IPV4) | c.rlike(rules.IPV6)),
+        "domain": (content._is_domain(c, rules.BARE_DOMAIN), c.rlike("(?d)" + rules.BARE_DOMAIN)),
+        "domain, any case": (content._is_domain(c, rules.BARE_DOMAIN_ANY_CASE), c.rlike("(?d)" + rules.BARE_DOMAIN_ANY_CASE)),
+        "allowed": (F.length(F.regexp_replace(F.lower(c), urls._ALLOWED, "")), F.length(F.translate(F.lower(c), rules.URL_ALLOWED_CHARS, ""))),
+    }
+    df = spark.createDataFrame([(x,) for x in ODD], "c string")
+    for name, (new, plain) in pairs.items():
+        assert [r["c"] for r in df.where(~new.eqNullSafe(plain)).collect()] == [], name
+
+
+def test_long_texts_are_not_read_one_character_at_a_time(spark):
+    df = spark.createDataFrame([("1", "a text")], "id string, content string")
+    plan = urls.url_features(df, "content").withColumn("kind", content.scoring_type(F.col("content")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "from:|subject:" not in plan

@@ -17,6 +17,17 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
+def strip_long(col: Column) -> Column:
+    """The same for long texts.
+
+    Trimming the end by a set of characters lists all characters of a text first.  An
+    end that is a visible ASCII character has nothing to trim, and its byte is at hand.
+    """
+    last = F.substring(col.cast("binary"), -1, 1)
+    visible = last.between(F.lit(bytearray(b"!")), F.lit(bytearray(b"~")))
+    return F.when(visible, F.ltrim(col, F.lit(WHITESPACE))).otherwise(strip(col))
+
+
 def strip_chars(col: Column, chars: str) -> Column:
     return F.btrim(col, F.lit(chars))
 
@@ -44,6 +55,14 @@ def contains_any_plain(col: Column, words: Iterable[str]) -> Column:
     return out
 
 
+def without(col: Column, chars: str) -> Column:
+    """The text without the given characters, which few texts hold."""
+    out = col
+    for char in chars:
+        out = F.replace(out, F.lit(char), F.lit(""))
+    return F.when(contains_any_plain(col, chars), out).otherwise(col)
+
+
 def percent_decode(col: Column, plus_is_space: bool = False) -> Column:
     """Percent-decode; malformed escapes stay as they are."""
     fixed = F.regexp_replace(col, r"%(?![0-9a-fA-F]{2})", "%25")

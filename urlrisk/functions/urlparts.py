@@ -10,19 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import rules
-from .strings import percent_decode, quote_all, strip, strip_chars
+from .strings import percent_decode, quote_all, strip_chars, strip_long, without
 
 
 def normalised(url: Column) -> Column:
     """Trimmed URL; without an explicit web scheme it gets ``https://``."""
-    text = strip(url)
+    text = strip_long(url)
     has_scheme = text.startswith("http://") | text.startswith("https://")
     return F.when(has_scheme, text).otherwise(F.concat(F.lit("https://"), text))
 
 
 def parsable(normal: Column) -> Column:
     """The text that is parsed: tab and line breaks are not part of a URL."""
-    return F.when(normal.rlike("[\t\r\n]"), F.translate(normal, "\t\r\n", "")).otherwise(normal)
+    return without(normal, "\t\r\n")
 
 
 def netloc(text: Column) -> Column:
@@ -36,7 +36,7 @@ def path(text: Column) -> Column:
 
 
 def query(text: Column) -> Column:
-    return F.regexp_extract(text, r"^[^?#]*\?([^#]*)", 1)
+    return F.when(~text.contains("?"), "").otherwise(F.regexp_extract(text, r"^[^?#]*\?([^#]*)", 1))
 
 
 def fragment(text: Column) -> Column:
@@ -76,8 +76,9 @@ def feed_domain(url: Column) -> Column:
 
 
 def is_ip(host: Column) -> Column:
-    """IPv4 (outer brackets ignored) or IPv6."""
-    return strip_chars(host, "[]").rlike(rules.IPV4) | host.rlike(rules.IPV6)
+    """IPv4 (outer brackets ignored) or IPv6; long hosts that are no address are told by a digit or colon they lack."""
+    digit = F.substring(F.ltrim(host, F.lit("[]")), 1, 1).between("0", "9")
+    return (digit & strip_chars(host, "[]").rlike(rules.IPV4)) | (host.contains(":") & host.rlike(rules.IPV6))
 
 
 def is_dotted_quad(host: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
-from ..functions.strings import strip
+from ..functions.strings import contains_any_plain, strip, strip_long
 
 
 def compose_email(content: Column, subject: Column, sender: Column) -> Column:
@@ -17,7 +17,7 @@ def compose_email(content: Column, subject: Column, sender: Column) -> Column:
 
 def add_request_error(df: DataFrame, content: str = "content", kind: str = "content_type") -> DataFrame:
     """Trim the content and add ``requestError`` (null for a valid request)."""
-    text = F.coalesce(strip(F.col(content)), F.lit(""))
+    text = F.coalesce(strip_long(F.col(content)), F.lit(""))
     error = (F.when(text == "", "Content cannot be empty")
              .when(~F.coalesce(F.col(kind).isin(*rules.CONTENT_TYPES), F.lit(False)), "Unknown content type"))
     return df.withColumns({content: text, "requestError": error})
@@ -31,17 +31,22 @@ def split_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _has_header(low: Column) -> Column:
-    return low.rlike("|".join(rules.HEADERS))
+    return contains_any_plain(low, rules.HEADERS)
 
 
 def _web_prefix(text: Column) -> Column:
     return text.startswith("http://") | text.startswith("https://") | text.startswith("www.")
 
 
+def _is_domain(text: Column, pattern: str) -> Column:
+    """Whether the text fits a pattern of bare domains; a space before the first slash, as in most texts, spares the pattern."""
+    return ~F.substring_index(text, "/", 1).contains(" ") & text.rlike("(?d)" + pattern)
+
+
 def scoring_type(content: Column) -> Column:
     """Type for the scoring path: web prefix or bare domain, then mail headers, else text."""
-    low = strip(F.lower(content))
-    return (F.when(_web_prefix(low) | low.rlike("(?d)" + rules.BARE_DOMAIN), "url")
+    low = F.lower(strip_long(content))
+    return (F.when(_web_prefix(low) | _is_domain(low, rules.BARE_DOMAIN), "url")
             .when(_has_header(low), "email").otherwise("text"))
 
 
@@ -58,7 +63,7 @@ def enrichment_domain(content: Column) -> Column:
     A URL gives its network location, a bare domain itself; else the first link
     in the text, else the first mail address.
     """
-    text = strip(content)
+    text = strip_long(content)
     full = F.when(text.contains("://"), text).otherwise(F.concat(F.lit("http://"), text))
     location = F.lower(F.regexp_extract(F.translate(full, "\t\r\n", ""), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1))
     no_www = lambda c: F.replace(c, F.lit("www."), F.lit(""))
@@ -66,7 +71,7 @@ def enrichment_domain(content: Column) -> Column:
     link = F.regexp_extract(content, rules.LINK_IN_TEXT, 0)
     address = F.regexp_extract(content, rules.ADDRESS_DOMAIN, 1)
     found = (F.when(_web_prefix(text), F.when(~broken, no_www(location)))
-             .when(text.rlike("(?d)" + rules.BARE_DOMAIN_ANY_CASE), F.lower(F.substring_index(text, "/", 1)))
+             .when(_is_domain(text, rules.BARE_DOMAIN_ANY_CASE), F.lower(F.substring_index(text, "/", 1)))
              .when(link != "", no_www(F.lower(F.regexp_extract(link, "^https?://(.*)$", 1))))
              .when(address != "", F.lower(address)))
     return F.when(found != "", found)

@@ -19,6 +19,9 @@ from ..functions.strings import contains_any_plain, percent_decode, present
 
 HIT_TYPE = "array<struct<rule:int,type:string,matched:string,severity:double,description:string>>"
 
+#: Runs of characters that a URL may hold, listed one by one for a table lookup.
+_ALLOWED = "[" + "".join(c if c.isalnum() else "\\" + c for c in rules.URL_ALLOWED_CHARS) + "]+"
+
 _PARTS = ("_normal", "_text", "_netloc", "_path", "_query", "_lowered", "_host", "_is_ip", "_bad")
 
 
@@ -68,7 +71,7 @@ def _has_port() -> Column:
 
 def _feature_columns() -> dict[str, Column]:
     normal, host = F.col("_normal"), F.col("_host")
-    digits = F.length(host) - F.length(F.regexp_replace(host, r"\p{Nd}", ""))
+    digits = F.length(host) - F.length(F.regexp_replace(host, r"\p{Nd}+", ""))
     tld = F.when(F.col("_is_ip"), "").otherwise(U.last_labels(host, 1))
     return {
         "urlLength": F.length(normal),
@@ -83,10 +86,10 @@ def _feature_columns() -> dict[str, Column]:
         "isHttps": F.col("_text").startswith("https://"),
         "hasPortNumber": _has_port(),
         "hasSuspiciousTld": tld.isin(*rules.SUSPICIOUS_TLDS),
-        "hasEncodedChars": normal.rlike("%[0-9a-fA-F]{2}"),
+        "hasEncodedChars": normal.contains("%") & normal.rlike("%[0-9a-fA-F]{2}"),
         "hasSuspiciousKeywords": contains_any_plain(F.col("_lowered"), rules.SUSPICIOUS_KEYWORDS),
         "digitRatio": F.when(host == "", 0.0).otherwise(digits / F.length(host)),
-        "specialCharCount": F.length(F.translate(F.lower(normal), rules.URL_ALLOWED_CHARS, "")),
+        "specialCharCount": F.length(F.regexp_replace(F.lower(normal), _ALLOWED, "")),
         "queryParamCount": U.query_key_count(F.col("_query")),
     }
 
